@@ -31,12 +31,15 @@ from tidemark.llm.scratch import Scratch
 from tidemark.llm.shingles import mix, shingle_sets
 
 #: Bytes of segment rows that one reduce task is meant to read.
-REDUCE_BYTES = 24 << 20
+REDUCE_BYTES = 12 << 20
 #: A reduce task merges its input in steps of so many segment rows.
 MERGE_ROWS = 1 << 20
+#: A map task sorts its segment rows after so many.
+EMIT_ROWS = 1 << 20
 #: Rows of a bucket that are compared with each other at a time.
-BLOCK = 512
-SKETCH_WORDS = 8
+BLOCK = 256
+#: Least and most columns of a flat sketch, whose number is the power of two from the set's size on.
+COLUMNS = (512, 1 << 17)
 
 _META, _PAIR, _MEMBER = 0, 1, 2
 
@@ -88,48 +91,69 @@ def signatures(u: np.ndarray, percent: int) -> np.ndarray:
 
 
 def flat_sketch(u: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 512 columns: one XOR of a bit per shingle."""
-    columns = np.bincount((mix(u ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH_WORDS)
-    return np.packbits((columns & 1).astype(np.uint8)).tobytes()
+    """Parity of the shingles in each column: one XOR of a bit per shingle. Halves can be folded by XOR."""
+    wide = min(COLUMNS[1], max(COLUMNS[0], 1 << max(0, len(u) - 1).bit_length()))
+    column = mix(u ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(wide - 1)
+    return np.packbits((np.bincount(column.astype(np.int64), minlength=wide) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch with its halves XORed until it has size bytes, as 64-bit words."""
+    x = np.frombuffer(sketch, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _blocks(keys: list[np.ndarray], owners: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    k, o = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(k, kind="stable")
+    k, o = k[order], o[order]
+    part = ((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
+    for i, j in zip(cuts, [*cuts[1:], len(k)], strict=True):
+        yield int(part[i]), b"S" + k[i:j].tobytes() + o[i:j].tobytes()
+
+
 def _emit(batches: Iterator[pa.RecordBatch], parts: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks (p, data): sorted (key, doc) pairs for reduce task p, and one row of facts a text."""
+    """Blocks (p, data) for reduce task p: sorted (key, doc) pairs, and facts of texts with their sketches."""
+
+    def table(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], ["p", "data"])
+
     for batch in batches:
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        facts, keys, owners, seen = [], [], [], set()
+        facts, sketches, keys, owners, seen, rows = [], [], [], [], set(), 0
+
+        def full() -> list[tuple[int, bytes]]:
+            out = []
+            if facts:
+                own = np.array(facts, np.uint64)
+                out.append((int(mix(own[:1, 0].copy())[0] % np.uint64(parts)), b"F" + np.int64(len(own)).tobytes() + own.tobytes() + b"".join(sketches)))
+            if keys:
+                out += _blocks(keys, owners, parts)
+            for x in (facts, sketches, keys, owners):
+                x.clear()
+            seen.clear()
+            return out
+
         for doc, u in zip(docs, shingle_sets(_texts(batch), width), strict=True):
-            if len(u):
-                a, b = (int(x) for x in (mix(u).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(u + np.uint64(77)))))
-            else:
-                a = b = 0
-            facts.append((doc, len(u), a, b))
+            a, b = (int(mix(u).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(u + np.uint64(77))))) if len(u) else (0, 0)
+            sketches.append(flat_sketch(u))
+            facts.append((int(np.int64(doc).view(np.uint64)), len(u), a, b, len(sketches[-1])))
             if len(u) and most_different(len(u), len(u) * 100 // percent, percent) > 0 and (a, b) not in seen:
-                seen.add((a, b))  # a copy in the same batch shares its class and needs no keys of its own
-                k = signatures(u, percent)
-                keys.append(k)
-                owners.append(np.full(len(k), doc, np.int64))
-        out_p, out_d = [], []
-        if facts:
-            table = np.empty((len(facts), 4), np.uint64)
-            for i, (doc, n, a, b) in enumerate(facts):
-                table[i] = np.int64(doc).view(np.uint64), n, a, b
-            out_p.append(int(mix(table[:1, 0].copy())[0] % np.uint64(parts)))
-            out_d.append(b"F" + table.tobytes())
-        if keys:
-            k, o = np.concatenate(keys), np.concatenate(owners)
-            part = ((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(k, kind="stable")
-            k, o, part = k[order], o[order], part[order]
-            cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
-            for i, j in zip(cuts, [*cuts[1:], len(k)], strict=True):
-                out_p.append(int(part[i]))
-                out_d.append(b"S" + k[i:j].tobytes() + o[i:j].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out_d, pa.binary())], ["p", "data"])
+                seen.add((a, b))  # a copy nearby shares its class and needs no keys of its own
+                keys.append(signatures(u, percent))
+                owners.append(np.full(len(keys[-1]), doc, np.int64))
+                rows += len(keys[-1])
+                if rows >= EMIT_ROWS:
+                    yield table(full())
+                    rows = 0
+        yield table(full())
 
 
 class _Hubs:
@@ -176,13 +200,16 @@ class _Hubs:
         return pairs, members
 
 
+_FOUND = "kind int, a long, b long, c long, d long, sketch binary"
+
+
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, a, b, c, d): facts of a text, candidate pairs with their number of keys, and members of large buckets."""
+    """Rows (kind, a, b, c, d, sketch): facts of a text, candidate pairs, and members of buckets of three or more."""
 
-    def table(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    def table(kind: int, columns: list[np.ndarray], sketches: list[bytes] | None = None) -> pa.RecordBatch:
         n = len(columns[0])
         full = [*columns, *[np.zeros(n, np.int64)] * (4 - len(columns))]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in full]], ["kind", "a", "b", "c", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in full], pa.array(sketches or [None] * n, pa.binary())], ["kind", "a", "b", "c", "d", "sketch"])
 
     hubs, held, size = _Hubs(), [], 0
 
@@ -190,17 +217,20 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             pairs, members = hubs.add(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
             if len(pairs):
-                yield table(_PAIR, pairs[:, 0], pairs[:, 1])
+                yield table(_PAIR, [pairs[:, 0], pairs[:, 1]])
             if len(members):
-                yield table(_MEMBER, members[:, 0], members[:, 1])
+                yield table(_MEMBER, [members[:, 0], members[:, 1]])
 
     for batch in batches:
-        for data in batch.column("data").to_pylist():
-            body = np.frombuffer(data, np.int64, offset=1)
+        for data in batch.column("data"):
+            data = data.as_py()
             if data[:1] == b"F":
-                f = body.reshape(-1, 4)
-                yield table(_META, f[:, 0], f[:, 1], f[:, 2], f[:, 3])
+                n = int(np.frombuffer(data, np.int64, 1, 1)[0])
+                f = np.frombuffer(data, np.int64, 5 * n, 9).reshape(n, 5)
+                ends = 9 + 40 * n + np.cumsum(f[:, 4])
+                yield table(_META, [f[:, i] for i in range(4)], [data[e - k : e] for e, k in zip(ends, f[:, 4], strict=True)])
                 continue
+            body = np.frombuffer(data, np.int64, offset=1)
             n = len(body) // 2
             held.append((body[:n].view(np.uint64), body[n:]))
             size += n
@@ -212,8 +242,8 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(_texts(batch), width))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary()), pa.array([flat_sketch(u) for u in sets], pa.binary())], ["doc", "items", "sketch"])
+        sets = [u.tobytes() for u in shingle_sets(_texts(batch), width)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "items"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -230,12 +260,20 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
 
 
-def _near(sk_a: np.ndarray, n_a: np.ndarray, sk_b: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+def _possible(far: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs pass the bound on the Hamming distance of their flat sketches and the ratio of their sizes."""
-    far = np.bitwise_count(sk_a[:, None, :] ^ sk_b[None, :, :]).sum(2, dtype=np.int64)
-    total = n_a[:, None] + n_b[None, :]
-    ratio = np.minimum(n_a[:, None], n_b[None, :]) * 100 >= percent * np.maximum(n_a[:, None], n_b[None, :])
-    return ratio & (far * (100 + percent) <= total * (100 - percent))
+    ratio = np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b)
+    return ratio & (far * (100 + percent) <= (n_a + n_b) * (100 - percent))
+
+
+def _prune(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        far = []
+        for x, y in zip(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b")), strict=True):
+            size = min(len(x), len(y))
+            far.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()))
+        keep = pa.array(_possible(np.array(far, np.int64), *(batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")), percent))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "keys")], ["a", "b", "keys"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -247,16 +285,21 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         cell = rows.column("cell_id").to_numpy()
         cuts = np.flatnonzero(np.diff(cell)) + 1
         doc, comp, n, right = (rows.column(c).to_numpy() for c in ("doc", "comp", "n", "right"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        sketches = rows.column("sketch").to_pylist()
         for i, j in zip([0, *cuts], [*cuts, len(cell)], strict=True):
             side = right[i:j]
+            least = min(map(len, sketches[i:j]))
+            sketch = np.stack([folded(x, least) for x in sketches[i:j]])
             l = np.flatnonzero(side != 2) + i  # noqa: E741
             r = np.flatnonzero(side != 1) + i
             for lo in range(0, len(l), BLOCK):
                 a = l[lo : lo + BLOCK]
                 for ro in range(0, len(r), BLOCK):
                     b = r[ro : ro + BLOCK]
-                    ok = _near(sketch[a], n[a], sketch[b], n[b], percent) & (comp[a][:, None] != comp[b][None, :])
+                    far = np.zeros((len(a), len(b)), np.int64)
+                    for w in range(0, sketch.shape[1], 16):
+                        far += np.bitwise_count(sketch[a - i, None, w : w + 16] ^ sketch[None, b - i, w : w + 16]).sum(2, dtype=np.int64)
+                    ok = _possible(far, n[a][:, None], n[b][None, :], percent) & (comp[a][:, None] != comp[b][None, :])
                     x, y = np.nonzero(ok)
                     out_a.append(doc[a[x]])
                     out_b.append(doc[b[y]])
@@ -302,51 +345,59 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size * 1.7 / REDUCE_BYTES))
     blocks = docs.mapInArrow(lambda it: _emit(it, parts, width, percent), "p int, data binary")
-    found = scratch.keep(blocks.repartition(parts, "p").mapInArrow(_reduce, "kind int, a long, b long, c long, d long"), by="kind")
-    facts = found.where(F.col("kind") == _META).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d")
+    found = scratch.keep(blocks.repartition(parts, "p").mapInArrow(_reduce, _FOUND), by="kind")
+    facts = found.where(F.col("kind") == _META).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d", "sketch")
     classes = facts.where("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"))
-    known = scratch.keep(facts.join(classes, ["n", "c", "d"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    rep = known.select(F.col("doc_id").alias("x"), F.col("rep"), "n")
-
-    def as_reps(rows: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            rows = rows.join(rep.select(F.col("x").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n")), c).drop(c).withColumnRenamed(f"{c}_rep", c)
-        return rows
-
-    hub_pairs = found.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.count("*").alias("keys"))
-    hub_pairs = as_reps(hub_pairs, "a", "b").where((F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")) & (F.col("a") != F.col("b")))
-    hub_pairs = scratch.keep(hub_pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("keys").alias("keys")))
-    members = as_reps(found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("doc")), "doc").select("key", "doc", F.col("doc_n").alias("n")).distinct()
-    wanted = hub_pairs.select(F.col("a").alias("doc_id")).union(hub_pairs.select("b")).union(members.select("doc")).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = scratch.keep(texts.mapInArrow(lambda it: _sets(it, width), "doc long, items binary, sketch binary"))
-
-    # First the pair of each document with the most common keys, then what is left of the other pairs.
-    best = Window.partitionBy("b").orderBy(F.desc("keys"), "a")
-    links = scratch.keep(_check(hub_pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), sets, percent))
-    first = scratch.keep(components(links, scratch))
+    known = scratch.keep(facts.drop("sketch").join(classes, ["n", "c", "d"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+    sketches = facts.select(F.col("doc_id").alias("doc"), "n", "sketch")
+
+    def as_reps(rows: DataFrame, c: str) -> DataFrame:
+        return rows.join(known.select(F.col("doc_id").alias(c), F.col("rep").alias("_rep")), c).drop(c).withColumnRenamed("_rep", c)
+
+    def beside(rows: DataFrame, c: str) -> DataFrame:
+        return rows.join(sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+
+    pairs = as_reps(as_reps(found.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.count("*").alias("keys")), "a"), "b").where("a <> b")
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("keys").alias("keys"))
+    pairs = scratch.keep(beside(beside(pairs, "a"), "b").mapInArrow(lambda it: _prune(it, percent), "a long, b long, keys long"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return scratch.keep(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc long, items binary"))
 
     def label(rows: DataFrame, c: str, labels: DataFrame) -> DataFrame:
-        return rows.join(labels.select(F.col("node").alias(c), F.col("component")), c, "left").withColumn(f"{c}_comp", F.coalesce("component", c)).drop("component")
+        return rows.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
 
-    rest = label(label(hub_pairs, "a", first), "b", first).where("a_comp <> b_comp").select("a", "b")
+    # First the pair of each document with the most common keys, then the pairs that this leaves apart.
+    sets = sets_of(pairs)
+    best = Window.partitionBy("b").orderBy(F.desc("keys"), "a")
+    links = scratch.keep(_check(pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), sets, percent))
+    comps = scratch.keep(components(links, scratch))
+    rest = label(label(pairs, "a", comps), "b", comps).where("a_comp <> b_comp").select("a", "b")
     links = links.union(scratch.keep(_check(rest, sets, percent)))
-    second = scratch.keep(components(links, scratch))
-
-    # Buckets that still hold more than one component.
-    held = label(members, "doc", second).select("key", "doc", "n", F.col("doc_comp").alias("comp"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "rows")
-    cells = held.join(mixed, "key").join(sets.select("doc", "sketch"), "doc")
+    scratch.drop(sets)
+    comps = components(links, scratch)
+
+    # Then the buckets that still hold more than one component.
+    where = label(known.select("doc_id", "rep"), "rep", comps).select(F.col("doc_id").alias("b"), "rep", "rep_comp")
+    members = found.where(F.col("kind") == _MEMBER).select("a", "b").join(where, "b").select(F.col("a").alias("key"), F.col("rep").alias("doc"), F.col("rep_comp").alias("comp"))
+    members = scratch.keep(members)
+    mixed = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "rows")
+    mixed = scratch.keep(mixed)
+    cells = beside(members.join(mixed, "key").distinct(), "doc")
     cells = cells.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell_id"), "doc", "comp", "n", "sketch",
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell_id"), "doc", "comp", F.col("n_doc").alias("n"), F.col("sketch_doc").alias("sketch"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("right"),
     )
     close = cells.repartition("cell_id").sortWithinPartitions("cell_id").mapInArrow(lambda it: _cells(it, percent), "a long, b long")
-    close = _distinct_pairs(close).join(hub_pairs.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(scratch.keep(_check(scratch.keep(close), sets, percent)))
-    final = scratch.keep(components(links, scratch))
-    scratch.drop(sets, found)
-    out = known.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).distinct()
+    close = scratch.keep(_distinct_pairs(close).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    scratch.drop(members, mixed)
+    if not close.isEmpty():
+        sets = sets_of(close)
+        links = links.union(scratch.keep(_check(close, sets, percent)))
+        scratch.drop(sets)
+        comps = components(links, scratch)
+    out = label(known, "rep", comps)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep_comp").alias("component_id")).distinct()

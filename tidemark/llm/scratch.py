@@ -7,10 +7,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +48,20 @@ class Scratch:
     def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
         self._n += 1
         path = self.path(f"t{self._n}")
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        self.write(df.write.partitionBy(by) if by else df.write, path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._of[id(out)] = (path, out)
         return out
 
+    def write(self, writer: DataFrameWriter, path: str, kind: str = "parquet") -> None:
+        """Writes and lets Spark delete the shuffle files of that job at once, not when the driver collects garbage."""
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.format(kind).save(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path, _ = self._of.pop(id(t))
