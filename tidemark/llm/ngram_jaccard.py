@@ -35,7 +35,7 @@ REDUCE_BYTES = 12 << 20
 #: A reduce task merges its input in steps of so many segment rows.
 MERGE_ROWS = 1 << 20
 #: A map task sorts its segment rows after so many.
-EMIT_ROWS = 1 << 20
+EMIT_ROWS = 1 << 19
 #: Rows of a bucket that are compared with each other at a time.
 BLOCK = 256
 #: Least and most columns of a flat sketch, whose number is the power of two from the set's size on.

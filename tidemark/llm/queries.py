@@ -6,19 +6,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import bm25_pack, entropy_mix, line_chunks, ngram_jaccard, pivot_index, quality_rules, secret_scan, token_count, url_filter, warc
+from tidemark.llm.tokens import tokenizer_path
+
+TOKENIZER = "word_bpe_49k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.ngram_jaccard import jaccard_components
+    return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = url_filter.label_outcomes(_table(spark, sf_dir, "labels"))
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), outcomes)
+
+
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(_table(spark, sf_dir, "documents"))
+
+
+def op8_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_pack.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix_copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
 
-    return jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=80)
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.chunk_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard,)}
+    own = (op1_ngram_jaccard, op2_secret_scan, op3_url_filter, op4_token_count, op5_embedding_dedup, op6_warc, op7_quality_rules, op8_bm25_pack, op9_entropy_mix, op10_line_chunks)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

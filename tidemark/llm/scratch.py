@@ -8,10 +8,13 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go at the end of the job that made them, not when the driver collects garbage; Python gets texts in
+#: small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,15 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """df behind a column that differs from run to run, through which the optimizer pushes no predicate.
+
+    Without it a filter on an array expression is copied below the step that computes it, and its lambdas then compute
+    the arrays they refer to once for each element.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes a DataFrame and reads it again; ``drop`` deletes such a table."""
 
@@ -54,13 +66,15 @@ class Scratch:
         return out
 
     def write(self, writer: DataFrameWriter, path: str, kind: str = "parquet") -> None:
-        """Writes and lets Spark delete the shuffle files of that job at once, not when the driver collects garbage."""
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
+        """Writes under WRITING, then puts the session's settings back."""
+        before = {k: self.spark.conf.get(k) for k in WRITING}
         try:
+            for k, v in WRITING.items():
+                self.spark.conf.set(k, v)
             writer.format(kind).save(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:

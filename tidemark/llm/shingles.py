@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Texts are hashed in runs of about so many bytes; a longer text makes a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _odd = lambda n: _rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
