@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 __all__ = [
-    "count_where", "cut_round", "euros", "label_segment", "month_of", "months_apart", "pct_growth", "qualify", "rate", "ratio", "revenue", "sum_where", "surrogate_key", "years_apart",
+    "count_where", "cut_round", "euros", "euros_each", "label_segment", "month_of", "months_apart", "pct_growth", "qualify", "rate", "ratio", "sum_where", "surrogate_key", "years_apart",
 ]
 
 # The bounds of completed visits by segment.
@@ -41,15 +41,16 @@ def rate(a: Column, b: Column) -> Column:
     return cut_round(ratio(a, b), 4)
 
 
-def revenue(x: Column) -> Column:
-    return cut_round(x, 2)
-
-
 def euros(cents: Column | str) -> Column:
     """Cents stay whole numbers until here."""
     return (F.col(cents) if isinstance(cents, str) else cents).cast("double") / 100
 
 
+def euros_each(cents: Column, n: Column) -> Column:
+    """Euros a head to the cent, half up, in whole numbers; null if n is 0 or null."""
+    return euros(F.floor(F.try_divide((cents * 2 + n).cast("decimal(28,0)"), (n * 2).cast("decimal(20,0)"))).cast("long"))
+
+
 def pct_growth(now: Column, before: Column) -> Column:
     return ratio(now - before, before)
 

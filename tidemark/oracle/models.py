@@ -21,6 +21,11 @@ def cents(condition: str = "payment_status = 'paid'") -> str:
     return f"CAST(coalesce(sum(amount_cents) FILTER (WHERE {condition}), 0) AS BIGINT)"
 
 
+def each(c: str, k: str) -> str:
+    """Cents a head, half up, in euros."""
+    return f"((2 * {c} + {k}) // NULLIF(2 * {k}, 0)) / 100.0::DOUBLE"
+
+
 MONTH = "CAST(date_trunc('month', {}) AS DATE)"
 _STATUS = {s: f"{n(f"status = '{s}'")} AS {s}_appointments" for s in ("completed", "cancelled", "no_show")}
 
@@ -121,7 +126,7 @@ MODEL_SQL = {
                count(DISTINCT doctor_id) AS active_doctors FROM fct_appointments GROUP BY 1, 2""",
     "agg_monthly_country_kpis": f"""
         SELECT a.*, c.country_name, c.region, coalesce(r.c, 0) / 100.0::DOUBLE AS total_revenue_eur, {rate('a.completed_appointments', 'a.total_appointments')} AS completion_rate,
-               {cut(div('(coalesce(r.c, 0) / 100.0::DOUBLE)', 'a.unique_patients'), 2)} AS revenue_per_patient, rank() OVER (PARTITION BY a.month ORDER BY coalesce(r.c, 0) DESC) AS country_revenue_rank
+               {each('coalesce(r.c, 0)', 'a.unique_patients')} AS revenue_per_patient, rank() OVER (PARTITION BY a.month ORDER BY coalesce(r.c, 0) DESC) AS country_revenue_rank
         FROM monthly_country a
         LEFT JOIN (SELECT {MONTH.format('payment_date')} AS month, country_id, CAST(sum(amount_cents) AS BIGINT) AS c FROM fct_payments WHERE payment_status = 'paid' GROUP BY 1, 2) r ON a.month = r.month AND a.country_id = r.country_id
         LEFT JOIN dim_countries c ON a.country_id = c.country_id""",

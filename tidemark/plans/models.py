@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import count_where, cut_round, euros, label_segment, month_of, months_apart, rate, ratio, revenue, sum_where, years_apart
+from tidemark.functions import count_where, cut_round, euros, euros_each, label_segment, month_of, months_apart, rate, ratio, sum_where, years_apart
 from tidemark.sources.raw import Raw
 
 MODELS: dict[str, Callable[[Models], DataFrame]] = {}
@@ -295,7 +295,7 @@ def agg_monthly_country_kpis(m: Models) -> DataFrame:
     out = out.withColumn("_cents", F.coalesce("_cents", F.lit(0)))
     return out.withColumns({
         "total_revenue_eur": euros("_cents"), "completion_rate": rate(F.col("completed_appointments"), F.col("total_appointments")),
-        "revenue_per_patient": revenue(ratio(euros("_cents"), F.col("unique_patients"))),
+        "revenue_per_patient": euros_each(F.col("_cents"), F.col("unique_patients")),
         "country_revenue_rank": F.rank().over(Window.partitionBy("month").orderBy(F.desc("_cents"))).cast("long"),
     }).drop("_cents")
 
