@@ -138,10 +138,10 @@ def test_token_count(table, spark, tmp_path):
 def test_words_encode_as_whole_texts():
     from tidemark.llm.tokens import WordEncoder
 
-    texts = ["It's 42% <|endoftext|>x<|startoftext|> I'LL go now", "naïve é ́a İstanbul ΑΣ ΑΣ. ﬁ 한글 👩‍👩‍👧 ​ z̀́", "<|ENDOFTEXT|> 's 't a's\n\u0085b\x1cc\x00d", "a" * 5000, None, ""]
+    texts = ["It's 42% <|endoftext|>x<|startoftext|> I'LL go now", "naïve é ́a İstanbul ΑΣ ΑΣ. ﬁ 한글 👩‍👩‍👧 ​ z̀́", "<|ENDOFTEXT|> 's 't a's\n\u0085b\x1cc\x00d", "a" * 5000, None, "", "U.S.A. end.<|endoftext|>.x J\u030c.y e.g.,'s it.'s a,\u0308b 3.14 x%y"]
     enc = WordEncoder(tokenizer_path(TOKENIZER))
     for _ in range(2):
-        got = [list(map(int, ids)) for ids in enc.encode(texts)]
+        got = [list(map(int, ids)) for ids in enc.encode([t and t.encode() for t in texts])]
         assert got == [ids for _, ids in library_counts(list(enumerate(texts)))]
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.shingles import mix
 from tidemark.llm.tokens import encoder
 
 #: Tokens of rests in a shard, about: some 1,000 rests of half a window.
@@ -41,15 +40,15 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: i
     names = ["doc_id", "doc_tokens", "window_crcs", "rest", "lexical"]
     for batch in batches:
         rows = [[] for _ in names[1:]]
-        for ids in encoder(path).encode(batch.column("text").to_pylist()):
+        for ids in encoder(path).encode(batch.column("text").cast(pa.binary()).to_pylist()):
             ids = np.append(ids.astype(np.uint32), np.uint32(end_id))
             full = len(ids) // window * window
             rest = ids[full:]
             rows[0].append(len(ids))
             rows[1].append([_crc(ids[i : i + window]) for i in range(0, full, window)])
             rows[2].append(rest.astype("<u4" if ids.max() >= 1 << 16 else "<u2").tobytes() if len(rest) else None)
-            wide = ids.astype(np.uint64)
-            rows[3].append(int(mix(wide[:-1] << np.uint64(32) | wide[1:]).min(initial=np.uint64((1 << 63) - 1)).astype(np.int64)) if len(ids) > 1 else 0)
+            wide = rest.astype(np.uint32)
+            rows[3].append(int(((wide[:-1] * np.uint32(0x9E3779B1)) ^ (wide[1:] * np.uint32(0x85EBCA6B))).min()) if len(rest) > 1 else 0)
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names)
 

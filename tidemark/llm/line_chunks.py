@@ -49,26 +49,31 @@ def with_chunks(docs: DataFrame) -> DataFrame:
     return fence(out.withColumn("_chunks", F.transform(starts, chunk)).drop("_lines", "_hashes", "_values", "_starts"))
 
 
-def _occurrences(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(doc_id, place, digest, text?) of every chunk that counts."""
+def _marks(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, digest, chars) of every chunk that counts."""
     out = with_chunks(docs.select("doc_id", "text")).select("doc_id", F.posexplode("_chunks").alias("place", "chunk"))
     out = out.where((F.col("chunk.lines") >= LEAST_LINES) & (F.length("chunk.text") >= LEAST_CHARS))
-    columns = [F.xxhash64("chunk.text").alias("digest"), F.length("chunk.text").alias("chars")]
-    return out.select("doc_id", "place", *columns, *([F.col("chunk.text").alias("text")] if with_text else []))
+    return out.select("doc_id", "place", F.xxhash64("chunk.text").alias("digest"), F.length("chunk.text").alias("chars"))
 
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, place) of each chunk whose bytes occur before, by doc_id and place."""
-    digests = _occurrences(docs, False)
-    again = digests.groupBy("digest", "chars").agg(F.count("*").alias("n")).where("n > 1").select("digest", "chars")
-    again = scratch.keep(again)
-    seen = _occurrences(docs, True).join(again, ["digest", "chars"], "left_semi")
-    seen = scratch.keep(seen)
+    """(doc_id, place) of each chunk whose bytes occur before, by doc_id and place.
+
+    Digests say which chunks may repeat; only documents that hold such chunks are read again for their bytes.
+    """
+    marks = scratch.keep(_marks(docs))
+    again = marks.groupBy("digest", "chars").agg(F.count("*").alias("n")).where("n > 1").select("digest", "chars")
+    wanted = marks.join(again, ["digest", "chars"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("place", "digest")).alias("_wanted"))
+    chunks = with_chunks(docs.join(wanted.hint("shuffle_hash"), "doc_id"))
+    seen = chunks.select("doc_id", F.explode(F.transform("_wanted", lambda w: F.struct(w["place"].alias("place"), w["digest"].alias("digest"), F.get("_chunks", w["place"])["text"].alias("text")))).alias("c"))
+    seen = scratch.keep(seen.select("doc_id", "c.*"))
     # Equal bytes, not only equal digests: the text itself is the key. Minima are combined before the shuffle.
     first_doc = seen.groupBy("digest", "text").agg(F.min("doc_id").alias("doc_id"))
     first = seen.join(first_doc, ["digest", "text", "doc_id"]).groupBy("digest", "text").agg(F.min("doc_id").alias("first_doc"), F.min("place").alias("first_place"))
     later = seen.join(first, ["digest", "text"]).where((F.col("doc_id") > F.col("first_doc")) | (F.col("place") > F.col("first_place")))
-    return scratch.keep(later.select("doc_id", "place").distinct())
+    out = scratch.keep(later.select("doc_id", "place").distinct())
+    scratch.drop(marks, seen)
+    return out
 
 
 def _removed(docs: DataFrame, scratch: Scratch) -> DataFrame:

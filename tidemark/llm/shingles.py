@@ -43,15 +43,24 @@ def _power_table(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _run(texts: list[bytes], width: int) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of bytes that end with white space."""
+    edge = np.flatnonzero(np.diff(_SPACE[data], prepend=True))
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, wherever it stands; codes holds a random word for each byte."""
     up, down = _power_table(len(data))
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    total = np.cumsum(_CODE[data] * up[: len(data)], dtype=np.uint64)
+    total = np.cumsum(codes[data] * up[: len(data)], dtype=np.uint64)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    words = mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _run(texts: list[bytes], width: int) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    starts, ends = word_spans(data)
+    words = span_hashes(data, starts, ends, _CODE)
     borders = np.cumsum([0, *(len(t) + 1 for t in texts)])
     first = np.searchsorted(starts, borders)
     out = []

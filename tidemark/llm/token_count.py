@@ -35,7 +35,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [len(ids) for ids in encoder(path).encode(batch.column("text").to_pylist())]
+        n = [len(ids) for ids in encoder(path).encode(batch.column("text").cast(pa.binary()).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
 
