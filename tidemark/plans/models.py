@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.config import Config
 from tidemark.functions import count_where, cut_round, euros, euros_each, label_segment, month_of, months_apart, rate, ratio, sum_where, years_apart
 from tidemark.sources.raw import Raw
 
@@ -25,10 +26,13 @@ def model(f):
 
 
 class Models:
-    """as_of: the date that stands for today; by default the last completed visit, so that results can be repeated."""
+    """config.as_of stands for today; by default it is the last completed visit, so that results can be repeated.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, raw: Raw | None = None, as_of: str | None = None):
-        self.spark, self.raw, self.as_of = spark, raw or Raw(spark, sf_dir), as_of
+    raw: anything with the raw tables as attributes, by default those made of the test tables.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str = "", raw: Raw | None = None, config: Config = Config()):
+        self.spark, self.raw, self.config = spark, raw or Raw(spark, sf_dir), config
         self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -40,8 +44,8 @@ class Models:
 
     def today(self) -> DataFrame:
         """One row with column today."""
-        if self.as_of:
-            return self.spark.createDataFrame([(self.as_of,)], "d string").select(F.to_date("d").alias("today"))
+        if self.config.as_of:
+            return self.spark.range(1).select(F.lit(self.config.as_of).cast("date").alias("today"))
         return self.stg_appointments.where("status = 'completed'").agg(F.to_date(F.max("appointment_start_at")).alias("today"))
 
 
@@ -196,7 +200,7 @@ def dim_countries(m: Models) -> DataFrame:
 
 @model
 def fct_appointments(m: Models) -> DataFrame:
-    return appointment_facts(m.int_appointments_enriched)
+    return appointment_facts(m.int_appointments_enriched, dev_days=m.config.dev_window_days if m.config.is_dev else None)
 
 
 def appointment_facts(enriched: DataFrame, newer_than: Column | None = None, dev_days: int | None = None) -> DataFrame:
