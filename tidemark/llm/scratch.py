@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
@@ -20,7 +23,15 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 def shared_dir(spark: SparkSession) -> str:
     """Folder named in spark.checkpoint.dir; set to a default only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or f"file://{LOCAL_DEFAULT}").rstrip("/")
+    return named.rstrip("/") if named else _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    """A folder of this process under the default, deleted when it ends."""
+    path = f"{LOCAL_DEFAULT}/{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def ship(spark: SparkSession) -> None:
