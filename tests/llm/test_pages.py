@@ -45,7 +45,7 @@ def plain_blocked(rows, bad):
             level[k][name][0] += page in bad
             level[k][name][1] += bad.get(page, 0)
     total = [sum(v[i] for v in level[2].values()) for i in (0, 1)]
-    above = collections.defaultdict(lambda: (total[1] + 1) / (total[0] + 2))
+    above = collections.defaultdict(lambda: (total[1] + url_filter.START_BAD) / (total[0] + url_filter.START_PAGES))
     for k in (2, 1, 0):
         prior = {name: above[{2: "", 1: name.split(".")[-1], 0: ".".join(name.split(".")[-2:])}[k] if k < 2 else name] for name in level[k]}
         seen = one = square = 0.0

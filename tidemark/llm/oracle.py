@@ -73,7 +73,7 @@ o AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0
 hosts AS (SELECT host AS name, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS b
           FROM p LEFT JOIN o ON p.page_id = o.doc_id GROUP BY 1),
 domains AS (SELECT domain AS name, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix AS name, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1),
-whole AS (SELECT s.name, (sum(h.b) + 1) / (sum(h.n) + 2) AS mean FROM suffixes s, hosts h GROUP BY 1),
+whole AS (SELECT s.name, (sum(h.b) + {u.START_BAD}) / (sum(h.n) + {u.START_PAGES}) AS mean FROM suffixes s, hosts h GROUP BY 1),
 {_level('by_suffix', 'suffixes', 'whole', 'name')}, {_level('by_domain', 'domains', 'by_suffix', 'suffix')}, {_level('by_host', 'hosts', 'by_domain', 'domain')}
 SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN mean - {u.Z} * sqrt(mean * (1 - mean) / (strength + 1)) > {u.BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM (SELECT *, {_rules()} AS r FROM p) p JOIN by_host ON p.host = by_host.name"""

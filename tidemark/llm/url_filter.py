@@ -21,6 +21,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 BAD_LIMIT, Z = 0.25, 1.0
 #: Least and largest strength of a prior, in pages.
 STRENGTH = (2.0, 1000.0)
+#: What the rate over all pages starts from: so many bad ones among so many, so that no labels block nothing.
+START_BAD, START_PAGES = 0.5, 5.0
 
 
 def url_host(url: Column) -> Column:
@@ -89,13 +91,13 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, mean, lower) for every host of pages (page_id, host).
 
     outcomes: (page_id long, bad 0/1 int), at most one row a page; null outcomes are ignored. n and bad count the
-    labelled pages of a host, mean is its posterior rate of bad pages and lower its bound. Without any label the
-    rates are those of a uniform prior.
+    labelled pages of a host, mean is its posterior rate of bad pages and lower its bound. Without any label
+    every rate is START_BAD / START_PAGES.
     """
     labelled = pages.join(outcomes.where("bad IS NOT NULL"), "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("prior"))
+    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + START_BAD) / (F.coalesce(F.sum("n"), F.lit(0.0)) + START_PAGES)).alias("prior"))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = _shrunk(suffixes, suffixes.select("suffix").crossJoin(F.broadcast(total)), "suffix", "suffix")
