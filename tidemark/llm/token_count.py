@@ -59,7 +59,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses = scratch.keep(misses)
     texts = docs.join(misses.hint("shuffle_hash"), "doc_id").select("digest", "text")
     counted = texts.where(content_digest(F.col("text")) == F.col("digest")).mapInArrow(lambda it: _count(it, tokenizer), "digest string, n_tokens long")
-    counted.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
+    scratch.write(counted.withColumn("version", F.lit(version)).write.mode("append"), cache)
     scratch.drop(misses)
     counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     out = rows.join(counts, "digest", "left")

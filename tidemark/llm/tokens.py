@@ -12,11 +12,11 @@ import numpy as np
 from tidemark.llm.shingles import span_hashes, word_spans
 
 #: Pieces that one worker remembers; a full memo starts anew.
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 600_000
 #: New pieces gather so many before they are merged into the memo.
-RECENT_PIECES = 100_000
+RECENT_PIECES = 50_000
 #: Texts are split into pieces so many bytes at a time, and new pieces encoded so many at a time.
-RUN_BYTES, ENCODE_PIECES = 1 << 19, 4096
+RUN_BYTES, ENCODE_PIECES = 1 << 18, 2048
 
 _B = np.arange(256)
 _LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
