@@ -231,7 +231,8 @@ def plain_chunks(text):
     lines = (text or "").split("\n")
     hashes = [xx(x.encode()) for x in lines]
     values = [signed(xx((hashes[i - 1] if i else 0).to_bytes(8, "little"), xx(hashes[i].to_bytes(8, "little")))) for i in range(len(lines))]
-    starts = [i for i in range(len(lines)) if i % 64 == 0 or (2 <= i and values[i - 1] < values[i - 2] and values[i - 1] < values[i])]
+    long = [len(WORD.findall(x)) >= 50 for x in lines]
+    starts = [i for i in range(len(lines)) if i % 64 == 0 or long[i] or long[i - 1] or (2 <= i and values[i - 1] < values[i - 2] and values[i - 1] < values[i])]
     return [lines[a:b] for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
 
 
@@ -241,7 +242,7 @@ def plain_dedup(rows):
         left = []
         for k, c in enumerate(plain_chunks(t)):
             body = "\n".join(c)
-            if len(c) >= 2 and len(body) >= 40 and seen.setdefault(body, (i, k)) != (i, k):
+            if (len(c) >= 2 and len(body) >= 40 or len(WORD.findall(body)) >= 50) and seen.setdefault(body, (i, k)) != (i, k):
                 continue
             left.append(body)
         out[i] = "\n".join(left)
@@ -258,6 +259,13 @@ def test_line_chunks(table, spark):
     assert line_chunks.chunk_report(cases(spark, [])).count() == 0
 
 
+def test_long_lines_are_passages(spark):
+    passage = " ".join(f"word{i}" for i in range(50))
+    rows = [(k, f"own start {k}\nmore {k}\n{passage}\nown end {k}", "a") for k in range(5)]
+    left = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(cases(spark, rows)).collect()}
+    assert left == {k: t if k == 0 else t.replace(f"{passage}\n", "") for k, t, _ in rows}
+
+
 def test_shifted_passages_are_cut_alike(spark):
     passage = "\n".join(f"sentence {i} of a passage that several documents share word for word" for i in range(30))
     rows = [(k, "\n".join(f"own line {k} {j} of this text" for j in range(k)) + "\n" + passage + f"\nend {k}", "a") for k in range(1, 9)]

@@ -2,9 +2,9 @@
 
 A rolling hash over the hashes of two neighbouring lines gives each line a value; a chunk ends after a line whose
 value is a strict local minimum. Borders depend on the lines around them only, so a passage that is moved or follows
-other lines is cut alike again, and minima are two lines or more apart. Chunks of two lines or more that occur again
-anywhere are found by digest, confirmed by comparing their bytes, and removed except for the first
-occurrence in order of doc_id and place.
+other lines is cut alike again, and minima are two lines or more apart. A line as long as a passage is a chunk of its
+own. Chunks of two lines or more, and such long lines, that occur again anywhere are found by digest, confirmed by
+comparing their bytes, and removed except for the first occurrence in order of doc_id and place.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from tidemark.llm.scratch import Scratch, fence
 
 #: Only chunks of so many lines and characters count.
 LEAST_LINES, LEAST_CHARS = 2, 40
+#: A line of so many words is a passage: it is not joined with its neighbours and counts alone.
+PASSAGE_WORDS = 50
 #: A line without a local minimum before it ends its chunk at so many lines, counted from the text's first line.
 MOST_LINES = 64
 
@@ -24,35 +26,42 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def chunk_starts(values: Column) -> Column:
-    """Places (from 0) at which a chunk starts, given one rolling value a line."""
+def is_passage(line: Column) -> Column:
+    words = F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    return F.when(F.length(line) >= 2 * PASSAGE_WORDS - 1, words >= PASSAGE_WORDS).otherwise(F.lit(False))
+
+
+def chunk_starts(values: Column, passages: Column) -> Column:
+    """Places (from 0) at which a chunk starts, given for each line its rolling value and whether it is a passage."""
     return F.filter(
         F.sequence(F.lit(0), F.size(values) - 1),
         lambda i: (i == 0)
         | (F.pmod(i, F.lit(MOST_LINES)) == 0)
+        | F.get(passages, i)
+        | F.get(passages, i - 1)
         | F.coalesce((F.get(values, i - 1) < F.get(values, i - 2)) & (F.get(values, i - 1) < F.get(values, i)), F.lit(False)),
     )
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs with _chunks, its text as an array of (lines, text) whose texts joined by line ends are the whole text."""
-    lines, hashes, values, starts = (F.col(c) for c in ("_lines", "_hashes", "_values", "_starts"))
+    """docs with _chunks, its text as an array of (lines, passage, text), whose texts joined by line ends are the whole."""
+    lines, hashes, values, passages, starts = (F.col(c) for c in ("_lines", "_hashes", "_values", "_passages", "_starts"))
     out = docs.withColumn("_lines", lines_of(F.col("text").cast("string")))
     out = out.withColumn("_hashes", F.transform(lines, lambda x: F.xxhash64(x)))
     out = out.withColumn("_values", F.transform(hashes, lambda h, i: F.xxhash64(h, F.coalesce(F.get(hashes, i - 1), F.lit(0)))))
-    out = out.withColumn("_starts", chunk_starts(values))
+    out = out.withColumn("_passages", F.transform(lines, is_passage)).withColumn("_starts", chunk_starts(values, passages))
 
     def chunk(start: Column, i: Column) -> Column:
         n = F.coalesce(F.get(starts, i + 1), F.size(lines)) - start
-        return F.struct(n.alias("lines"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("text"))
+        return F.struct(n.alias("lines"), F.get(passages, start).alias("passage"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("text"))
 
-    return fence(out.withColumn("_chunks", F.transform(starts, chunk)).drop("_lines", "_hashes", "_values", "_starts"))
+    return fence(out.withColumn("_chunks", F.transform(starts, chunk)).drop("_lines", "_hashes", "_values", "_passages", "_starts"))
 
 
 def _marks(docs: DataFrame) -> DataFrame:
     """(doc_id, place, digest, chars) of every chunk that counts."""
     out = with_chunks(docs.select("doc_id", "text")).select("doc_id", F.posexplode("_chunks").alias("place", "chunk"))
-    out = out.where((F.col("chunk.lines") >= LEAST_LINES) & (F.length("chunk.text") >= LEAST_CHARS))
+    out = out.where(F.col("chunk.passage") | (F.col("chunk.lines") >= LEAST_LINES) & (F.length("chunk.text") >= LEAST_CHARS))
     return out.select("doc_id", "place", F.xxhash64("chunk.text").alias("digest"), F.length("chunk.text").alias("chars"))
 
 
@@ -88,11 +97,11 @@ def _kept_text(chunks: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs with the repeated multi-line chunks of text removed; all columns and rows stay, n_chars follows the text.
+    """docs with the repeated chunks of text removed; all columns and rows stay, n_chars follows the text.
 
     docs needs doc_id (long) and text (string). The first occurrence of a chunk, by doc_id and then place in the
-    text, stays. Texts that are null stay null; a text of which all chunks go becomes empty; single lines and short
-    chunks always stay. Rows that repeat a doc_id are cut alike: what goes from one goes from all. An empty table
+    text, stays. Texts that are null stay null; a text of which all chunks go becomes empty; single lines that are no
+    passages and short chunks always stay. Rows that repeat a doc_id are cut alike: what goes from one goes from all. An empty table
     gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
