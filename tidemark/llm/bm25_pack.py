@@ -59,13 +59,16 @@ def _rest_ids(data: bytes, length: int) -> np.ndarray:
 
 def _terms(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Document frequencies of the rests of a partition, one row a term."""
-    seen = np.zeros(1 << 16, np.int64)
+    seen, mark = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
     for batch in batches:
         for data, n in zip(batch.column("rest").to_pylist(), batch.column("doc_tokens").to_pylist(), strict=True):
-            ids = np.unique(_rest_ids(data, n % window))
-            if len(ids) and ids[-1] >= len(seen):
-                seen = np.concatenate([seen, np.zeros(int(ids[-1]) + 1, np.int64)])
-            seen[ids] += 1
+            ids = _rest_ids(data, n % window)
+            if ids.max() >= len(seen):
+                more = int(ids.max()) + 1
+                seen, mark = np.concatenate([seen, np.zeros(more, np.int64)]), np.zeros(len(seen) + more, np.int32)
+            order = np.arange(len(ids), dtype=np.int32)
+            mark[ids] = order
+            seen[ids[mark[ids] == order]] += 1  # each term once, where it stands last
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["term", "df"])
 

@@ -12,7 +12,7 @@ import numpy as np
 from tidemark.llm.shingles import span_hashes, word_spans
 
 #: Pieces that one worker remembers; a full memo starts anew.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_500_000
 #: New pieces gather so many before they are merged into the memo.
 RECENT_PIECES = 50_000
 #: Texts are split into pieces so many bytes at a time, and new pieces encoded so many at a time.
@@ -42,7 +42,7 @@ class _Memo:
     """Places and numbers of ids by a piece's hash, sorted."""
 
     def __init__(self) -> None:
-        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are known, and where."""
@@ -96,13 +96,13 @@ class WordEncoder:
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(ids), self.kind)])
         self.ids[self.used : self.used + len(ids)] = ids
-        n = np.array(n, np.int32)
-        self.recent.add(keys, self.used + np.cumsum(n, dtype=np.int64) - n, n)
+        n = np.array(n, np.int64)
+        self.recent.add(keys, (self.used + np.cumsum(n) - n).astype(np.uint32), n.astype(np.int32))
         self.used += len(ids)
 
     def _run(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.recent.keys) > RECENT_PIECES:
-            if len(self.memo.keys) > MEMO_PIECES:
+            if len(self.memo.keys) > MEMO_PIECES or self.used > 16 * MEMO_PIECES:
                 self._forget()
             else:
                 self.memo.add(self.recent.keys, self.recent.at, self.recent.n)
@@ -113,13 +113,12 @@ class WordEncoder:
         inner = np.flatnonzero(_LETTER[data[:-1]] & _ENDING[data[1:]]) + 1
         starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
         keys, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        known, _ = self.memo.find(keys)
+        known, place = self.memo.find(keys)
         new = np.flatnonzero(~known)
         new = new[~self.recent.find(keys[new])[0]]
         if len(new):
             self._learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         n, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        known, place = self.memo.find(keys)
         n[known], at[known] = self.memo.n[place[known]], self.memo.at[place[known]]
         later, place = self.recent.find(keys)
         later &= ~known
