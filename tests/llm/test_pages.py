@@ -176,3 +176,9 @@ def test_near_vectors_of_an_empty_table(spark):
     assert pivot_index.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     none = spark.createDataFrame([(1, None), (2, [])], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in pivot_index.near_vectors(none).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
+
+
+def test_near_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [0.0, 1.0]), (6, [0.0, 1.0])]
+    got = sorted(tuple(r) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 1, 6, True), (6, 1, 6, True)]

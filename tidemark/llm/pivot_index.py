@@ -149,7 +149,7 @@ def _compare(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, shared: int,
 
 def fit_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
     """Pivots from a bounded sample of the distinct vectors of vectors (embedding array)."""
-    rows = vectors.orderBy(F.xxhash64("embedding"), "rep").limit(sample).select("embedding").toPandas()
+    rows = vectors.orderBy(F.xxhash64("embedding"), "rep").limit(sample).select("embedding").toPandas()  # vectors of one length
     return choose_pivots(np.array(rows["embedding"].tolist(), np.float64), n)
 
 
@@ -158,8 +158,8 @@ def near_vectors(table: DataFrame, least: float = 0.9, scratch: Scratch | None =
 
     Pairs that the index retrieves link if their cosine is least or more; n_links counts the other rows that a row links
     with, component_id is the smallest vec_id reachable, kept says that it is the row's own. Vectors that are null, empty
-    or zero, hold a null or non-finite component, or differ in length from the most common one of the sample's first
-    vector link with nothing. Equal rows link with each other. Other columns are ignored, an empty table gives no rows.
+    or zero, hold a null or non-finite component, or differ in length from the most common one (of lengths as common, the
+    smallest) link with none but equal rows. Equal rows link with each other. Other columns are ignored, an empty table gives no rows.
     """
     spark = table.sparkSession
     scratch = scratch or Scratch(spark, "pivots")
@@ -167,10 +167,11 @@ def near_vectors(table: DataFrame, least: float = 0.9, scratch: Scratch | None =
     good = F.coalesce(~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
     classes = rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = scratch.keep(classes)
-    pivots = fit_pivots(classes)
+    length = classes.groupBy(F.size("embedding").alias("length")).agg(F.sum("weight").alias("rows")).orderBy(F.desc("rows"), "length").first()
+    usable = classes.where(F.size("embedding") == (length["length"] if length else 0))
+    pivots = fit_pivots(usable)
     if not pivots.size:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = classes.where(F.size("embedding") == pivots.shape[1])
     shared = min(SHARED, len(pivots))
     index = scratch.keep(usable.select("rep", "embedding").mapInArrow(lambda it: _index(it, pivots, shared), "key long, rep long"))
     lists = index.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
