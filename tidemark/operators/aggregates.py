@@ -220,3 +220,21 @@ def worst_channel(m: Models) -> DataFrame:
     by = m.fct_appointments.groupBy("specialty_id", "channel").agg(F.count("*").alias("total_appointments"), count_where(F.col("status") == "no_show").alias("no_shows")).where("total_appointments >= 10")
     by = by.withColumn("no_show_rate", rate(F.col("no_shows"), F.col("total_appointments")))
     return qualify(by, F.rank().over(Window.partitionBy("specialty_id").orderBy(F.desc("no_show_rate"))), lambda r: r == 1)
+
+
+@query
+def win_default_frame(m: Models) -> DataFrame:
+    """Running visits of a patient by day in the default frame, which takes all rows of equal order."""
+    w = Window.partitionBy("patient_id").orderBy("appointment_date")
+    return m.fct_appointments.select("appointment_id", "patient_id", "appointment_date", F.count("*").over(w).alias("visits_so_far"), F.last("appointment_date").over(w).alias("last_date"))
+
+
+@query
+def having_global(m: Models) -> DataFrame:
+    """One row if there are any missing payments, else none."""
+    return m.fct_appointments.agg(F.count("*").alias("n_rows"), count_where(F.col("is_missing_payment")).alias("missing_payments")).where("missing_payments > 0")
+
+
+@query
+def distinct_supply_cells(m: Models) -> DataFrame:
+    return m.dim_doctors.select("specialty_id", "country_id", "is_active").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import count_where, cut_round, euros, euros_each, month_of, months_apart, pct_growth, rate, ratio, sum_where
 from tidemark.operators.registry import query
 from tidemark.operators.relational import DONE, PAID, _next_visit
+from tidemark.operators.tables import partition_sizes
 from tidemark.plans.models import Models
 
 
@@ -227,3 +228,45 @@ def bi_month_to_date_fixed(m: Models) -> DataFrame:
     rows = rows.where(F.col("month") == F.col("_m")).withColumn("cents", F.round(F.col("total_revenue_eur") * 100).cast("long"))
     total = F.sum("cents").over(Window.partitionBy())
     return rows.select("country_name", "total_revenue_eur", euros(total).alias("all_countries_eur"), F.date_format("month", "MMM yyyy").alias("label"))
+
+
+@query
+def bi_retention_heatmap(m: Models) -> DataFrame:
+    """A row for each cohort, its retention in percent by months since acquisition, with the mean over all cohorts of months 1 and 3."""
+    at = F.col("months_since_acquisition")
+    rows = m.mart_patient_retention.where("months_since_acquisition BETWEEN 1 AND 12")
+    means = rows.agg(*(cut_round(F.avg(F.when(at == k, F.col("retention_rate"))) * 100, 1).alias(f"mean_m{k}_pct") for k in (1, 3)))
+    by = rows.groupBy(F.date_format("cohort_month", "yyyy-MM").alias("cohort")).agg(*(F.max(F.when(at == k, cut_round(F.col("retention_rate") * 100, 1))).alias(f"m{k}_pct") for k in range(1, 13)))
+    return by.crossJoin(F.broadcast(means))  # one row
+
+
+@query
+def bi_revenue_vs_target(m: Models) -> DataFrame:
+    """Revenue of a month and country against a target: the same month of the year before, plus a tenth."""
+    now = m.agg_monthly_country_kpis.select("month", "country_id", F.round(F.col("total_revenue_eur") * 100).cast("long").alias("cents"))
+    before = now.select(F.add_months("month", 12).alias("month"), "country_id", F.col("cents").alias("before"))
+    out = now.join(before, ["month", "country_id"], "left")
+    return out.select("month", "country_id", euros("cents").alias("revenue_eur"), cut_round(ratio(F.col("cents") * 10, F.nullif(F.col("before") * 11, F.lit(0))) - 1, 6).alias("vs_target"))
+
+
+@query
+def bi_month_labels(m: Models) -> DataFrame:
+    """Labels of each month with visits, and whether it is the latest."""
+    months = m.fct_appointments.groupBy(month_of("appointment_date").alias("month")).agg(F.count("*").alias("visits"))
+    last = months.agg(F.max("month").alias("last"))
+    return months.crossJoin(F.broadcast(last)).select(  # one row
+        "month", "visits", F.date_format("month", "MMM yyyy").alias("label"), F.concat(F.lit("Q"), F.quarter("month").cast("string"), F.lit(" "), F.year("month").cast("string")).alias("quarter_label"),
+        (F.col("month") == F.col("last")).alias("is_current_month"),
+    )
+
+
+@query
+def kpi_last_7_days(m: Models) -> DataFrame:
+    """The latest seven days of the daily figures."""
+    return m.agg_daily_business_kpis.select("date", "total_appointments", "total_leads", "completion_rate", "cumulative_appointments").orderBy(F.desc("date")).limit(7)
+
+
+@query
+def partition_rows(m: Models) -> DataFrame:
+    """Rows of the fact table by month, as its layout keeps them."""
+    return partition_sizes(m.fct_appointments, "appointment_date")

@@ -312,3 +312,22 @@ def mom_growth(m: Models) -> DataFrame:
 def partition_prune_month(m: Models) -> DataFrame:
     """One month of visits; over the partitioned layout this reads one partition (see layout)."""
     return m.fct_appointments.where("appointment_date >= '1996-03-01' AND appointment_date < '1996-04-01'").groupBy("country_id").agg(F.count("*").alias("visits"), cut_round(ratio(F.sum("patient_age_at_appointment"), F.count("*")), 2).alias("mean_age"))
+
+
+@query
+def text_functions(m: Models) -> DataFrame:
+    name = F.col("full_name")
+    return m.dim_doctors.select(
+        "doctor_id", F.upper(name).alias("upper_name"), F.lower(name).alias("lower_name"), F.substring(name, 1, 5).alias("first_five"), F.concat(name, F.lit(" ("), F.col("specialty_id").cast("string"), F.lit(")")).alias("label"),
+        F.pow(F.col("years_experience").cast("double"), F.lit(2.0)).alias("experience_squared"), F.nullif(F.trim(F.lit("  ")), F.lit("")).isNull().alias("blank_is_null"),
+    )
+
+
+@query
+def timestamp_functions(m: Models) -> DataFrame:
+    """Milliseconds to and from a timestamp, intervals, and dates parsed from text; text that is no date is null."""
+    at, text = F.col("appointment_start_at").cast("timestamp"), F.date_format("appointment_date", "dd/MM/yyyy")
+    return m.fct_appointments.select(
+        "appointment_id", F.unix_millis(at).alias("start_ms"), (F.timestamp_millis(F.unix_millis(at)) == at).alias("round_trip"), F.date_format(at - F.expr("INTERVAL 36 HOURS"), "yyyy-MM-dd HH:mm").alias("start_minus_36h"),
+        F.try_to_date(text, "dd/MM/yyyy").alias("parsed"), F.try_to_date(F.concat(F.lit("99/"), text), "dd/MM/yyyy").alias("not_parsed"), (at >= F.lit("1970-01-01").cast("timestamp")).alias("after_epoch"),
+    )

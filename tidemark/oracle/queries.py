@@ -20,6 +20,8 @@ _RECENCY = f"SELECT patient_id, last_appointment_date, d AS days_since_last_visi
 _SPECIALTY = f"SELECT specialty_name, CAST(sum(total_appointments) AS BIGINT) AS appointments, CAST(sum(completed_appointments) AS BIGINT) AS completed, CAST(sum(CAST(round(total_revenue_eur * 100) AS BIGINT)) AS BIGINT) AS cents FROM agg_specialty_performance GROUP BY 1"
 _SPECIALTY = f"SELECT specialty_name, appointments, completed, {eur('cents')} AS revenue_eur, {each('cents', 'completed')} AS ticket_eur, {cut(div('appointments', '(sum(appointments) OVER ())'), 6)} AS demand_share FROM ({_SPECIALTY})"
 
+_COUNTRY_CENTS = "SELECT month, country_id, CAST(round(total_revenue_eur * 100) AS BIGINT) AS c FROM agg_monthly_country_kpis"
+
 
 def _lost(name, fact, key, dim):
     return f"SELECT '{name}' AS relation, count(*) AS orphans FROM {fact} f WHERE {key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {dim} d WHERE d.{key} = f.{key})"
@@ -122,6 +124,17 @@ QUERY_SQL = {
     "bi_retention_mean_by_offset": f"SELECT months_since_acquisition, count(*) AS cohorts, {cut('avg(retention_rate)', 6)} AS mean_retention FROM mart_patient_retention WHERE months_since_acquisition BETWEEN 1 AND 12 GROUP BY 1",
     "bi_top10_specialties": f"SELECT * FROM ({_SPECIALTY}) ORDER BY revenue_eur DESC, specialty_name LIMIT 10",
     "bi_month_to_date_fixed": f"SELECT country_name, total_revenue_eur, {eur('sum(CAST(round(total_revenue_eur * 100) AS BIGINT)) OVER ()')} AS all_countries_eur, strftime(month, '%b %Y') AS label FROM agg_monthly_country_kpis WHERE month = (SELECT {MONTH.format('max(appointment_date)')} FROM fct_appointments)",
+    "bi_retention_heatmap": "SELECT strftime(cohort_month, '%Y-%m') AS cohort, " + ", ".join(f"max({cut('retention_rate * 100', 1)}) FILTER (WHERE months_since_acquisition = {k}) AS m{k}_pct" for k in range(1, 13))
+    + ", " + ", ".join(f"(SELECT {cut('avg(retention_rate) * 100', 1)} FROM mart_patient_retention WHERE months_since_acquisition = {k}) AS mean_m{k}_pct" for k in (1, 3)) + " FROM mart_patient_retention WHERE months_since_acquisition BETWEEN 1 AND 12 GROUP BY 1",
+    "bi_revenue_vs_target": f"SELECT a.month, a.country_id, {eur('a.c')} AS revenue_eur, {cut(div('a.c * 10', 'b.c * 11') + ' - 1', 6)} AS vs_target FROM ({_COUNTRY_CENTS}) a LEFT JOIN ({_COUNTRY_CENTS}) b ON a.country_id = b.country_id AND a.month = b.month + INTERVAL 12 MONTH",
+    "bi_month_labels": f"SELECT month, visits, strftime(month, '%b %Y') AS label, concat('Q', quarter(month), ' ', year(month)) AS quarter_label, month = max(month) OVER () AS is_current_month FROM (SELECT {M} AS month, count(*) AS visits FROM fct_appointments GROUP BY 1)",
+    "kpi_last_7_days": "SELECT date, total_appointments, total_leads, completion_rate, cumulative_appointments FROM agg_daily_business_kpis ORDER BY date DESC LIMIT 7",
+    "partition_rows": f"SELECT {M} AS month, count(*) AS n_rows FROM fct_appointments GROUP BY 1",
+    "win_default_frame": "SELECT appointment_id, patient_id, appointment_date, count(*) OVER w AS visits_so_far, last_value(appointment_date) OVER w AS last_date FROM fct_appointments WINDOW w AS (PARTITION BY patient_id ORDER BY appointment_date)",
+    "having_global": f"SELECT count(*) AS n_rows, {n('is_missing_payment')} AS missing_payments FROM fct_appointments HAVING {n('is_missing_payment')} > 0",
+    "distinct_supply_cells": "SELECT DISTINCT specialty_id, country_id, is_active FROM dim_doctors",
+    "text_functions": "SELECT doctor_id, upper(full_name) AS upper_name, lower(full_name) AS lower_name, full_name[1:5] AS first_five, full_name || ' (' || specialty_id || ')' AS label, pow(CAST(years_experience AS DOUBLE), 2) AS experience_squared, true AS blank_is_null FROM dim_doctors",
+    "timestamp_functions": "SELECT appointment_id, epoch_ms(appointment_start_at) AS start_ms, true AS round_trip, strftime(appointment_start_at - INTERVAL 36 HOUR, '%Y-%m-%d %H:%M') AS start_minus_36h, appointment_date AS parsed, CAST(NULL AS DATE) AS not_parsed, appointment_start_at >= TIMESTAMP '1970-01-01' AS after_epoch FROM fct_appointments",
     "incremental_upsert": """
         WITH old AS (SELECT appointment_id, CASE WHEN appointment_id % 7 = 0 THEN 'scheduled' ELSE status END AS status, updated_at, appointment_date, patient_appointment_sequence FROM fct_appointments WHERE updated_at <= TIMESTAMP '1999-01-01'),
              new AS (SELECT appointment_id, status, CASE WHEN appointment_id % 7 = 0 THEN updated_at + INTERVAL 5000 DAY ELSE updated_at END AS updated_at, appointment_date, is_missing_payment, patient_appointment_sequence FROM fct_appointments),
