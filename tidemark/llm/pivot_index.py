@@ -75,11 +75,13 @@ def _index(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, shared: int) -
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rep, len(take)))], ["key", "rep"])
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray, base: int, shared: int) -> int:
-    both = np.intersect1d(a, b, assume_unique=True)[:shared]
-    key = 0
-    for p in both:
-        key = key * (base + 1) + int(p) + 1
+def _first_shared(a: np.ndarray, b: np.ndarray, base: int, shared: int) -> np.ndarray:
+    """The list of the first pivots that each row of a shares with that of b; rows are sorted pivots."""
+    both = (a[:, :, None] == b[:, None, :]).any(2)
+    both &= np.cumsum(both, axis=1) <= shared
+    key = np.zeros(len(a), np.int64)
+    for k in range(a.shape[1]):
+        key = np.where(both[:, k], key * (base + 1) + a[:, k] + 1, key)
     return key
 
 
@@ -117,7 +119,7 @@ def _compare(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, shared: int,
             x, y = x[exact], y[exact]
             if not len(x):
                 continue
-            new = np.array([_first_shared(near[a], near[b], len(pivots), shared) == key[a] for a, b in zip(x, y, strict=True)], bool)
+            new = _first_shared(near[x], near[y], len(pivots), shared) == key[x]
             links = np.zeros(j - i, np.int64)
             np.add.at(links, x[new] - i, weight[y[new]])
             np.add.at(links, y[new] - i, weight[x[new]])
