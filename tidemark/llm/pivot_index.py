@@ -155,11 +155,12 @@ def fit_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = SAMPLE) -> np.
     return choose_pivots(np.array(rows["embedding"].tolist(), np.float64), n)
 
 
-def near_vectors(table: DataFrame, least: float = 0.9, scratch: Scratch | None = None) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.9, n_pivots: int = PIVOTS, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of table (vec_id long, embedding array of float or double).
 
     Pairs that the index retrieves link if their cosine is least or more; n_links counts the other rows that a row links
-    with, component_id is the smallest vec_id reachable, kept says that it is the row's own. Vectors that are null, empty
+    with, component_id is the smallest vec_id reachable, kept says that it is the row's own. With more pivots lists are
+    shorter and recall is lower. Vectors that are null, empty
     or zero, hold a null or non-finite component, or differ in length from the most common one (of lengths as common, the
     smallest) link with none but equal rows. Equal rows link with each other. Other columns are ignored, an empty table gives no rows.
     """
@@ -171,7 +172,7 @@ def near_vectors(table: DataFrame, least: float = 0.9, scratch: Scratch | None =
     classes = scratch.keep(classes)
     length = classes.groupBy(F.size("embedding").alias("length")).agg(F.sum("weight").alias("rows")).orderBy(F.desc("rows"), "length").first()
     usable = classes.where(F.size("embedding") == (length["length"] if length else 0))
-    pivots = fit_pivots(usable)
+    pivots = fit_pivots(usable, n_pivots)
     if not pivots.size:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shared = min(SHARED, len(pivots))
