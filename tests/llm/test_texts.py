@@ -275,6 +275,17 @@ def test_shifted_passages_are_cut_alike(spark):
         assert all(f"own line {k} {j}" in left[k] for j in range(k)) and left[k].count("of a passage") <= 8
 
 
+def test_chunks_of_a_long_passage_move_with_it(spark):
+    """Away from its ends a passage of 400 short lines is cut alike behind any number of other lines."""
+    passage = [f"entry {i} of a list of many" for i in range(400)]
+    rows = [(k, "\n".join([f"own {k} {j}" for j in range(17 * k)] + passage), "a") for k in range(4)]
+    left = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(cases(spark, rows)).collect()}
+    assert all(left[k].count("of a list") <= 8 for k in range(1, 4)) and left[0] == rows[0][1]
+    same = [(k, "\n".join([f"own {k} {j}" for j in range(5 * k)] + ["an equal line"] * 200 + [f"end {k}"]), "a") for k in range(3)]
+    left = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(cases(spark, same)).collect()}
+    assert all(left[k].count("an equal line") <= 70 for k in (1, 2))
+
+
 def test_packing(table, spark):
     pieces = bm25_pack.pack_documents(table, tokenizer_path(TOKENIZER)).collect()
     ids = {i: [*x, 1] for i, x in library_counts(rows_of(table))}

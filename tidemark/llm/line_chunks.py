@@ -18,7 +18,8 @@ from tidemark.llm.scratch import Scratch, fence
 LEAST_LINES, LEAST_CHARS = 2, 40
 #: A line of so many words is a passage: it is not joined with its neighbours and counts alone.
 PASSAGE_WORDS = 50
-#: A line without a local minimum before it ends its chunk at so many lines, counted from the text's first line.
+#: A run of lines without a local minimum (equal values, or values that only rise or fall) is cut every so many lines,
+#: counted from the run's own first line, so that these cuts move with the passage too.
 MOST_LINES = 64
 
 
@@ -32,17 +33,21 @@ def is_passage(line: Column) -> Column:
 
 
 def chunk_starts(values: Column, passages: Column) -> Column:
-    """Places (from 0) at which a chunk starts, given for each line its rolling value and whether it is a passage."""
+    """Places (from 0) at which a chunk starts by its lines, given each line's rolling value and whether it is a passage."""
     return F.filter(
         F.sequence(F.lit(0), F.size(values) - 1),
         lambda i: (i == 0)
-        | (F.pmod(i, F.lit(MOST_LINES)) == 0)
         | F.get(passages, i)
         | F.get(passages, i - 1)
         | F.coalesce((F.get(values, i - 1) < F.get(values, i - 2)) & (F.get(values, i - 1) < F.get(values, i)), F.lit(False)),
     )
 
 
+def run_starts(starts: Column, n_lines: Column) -> Column:
+    """starts, and every MOST_LINES-th line after a start up to the next."""
+    return F.flatten(F.transform(starts, lambda s, k: F.sequence(s, F.coalesce(F.get(starts, k + 1), n_lines) - 1, F.lit(MOST_LINES))))
+
+
 def with_chunks(docs: DataFrame) -> DataFrame:
     """docs with _chunks, its text as an array of (lines, passage, text), whose texts joined by line ends are the whole."""
     lines, hashes, values, passages, starts = (F.col(c) for c in ("_lines", "_hashes", "_values", "_passages", "_starts"))
@@ -50,6 +55,7 @@ def with_chunks(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_hashes", F.transform(lines, lambda x: F.xxhash64(x)))
     out = out.withColumn("_values", F.transform(hashes, lambda h, i: F.xxhash64(h, F.coalesce(F.get(hashes, i - 1), F.lit(0)))))
     out = out.withColumn("_passages", F.transform(lines, is_passage)).withColumn("_starts", chunk_starts(values, passages))
+    out = fence(out).withColumn("_starts", run_starts(starts, F.size(lines)))
 
     def chunk(start: Column, i: Column) -> Column:
         n = F.coalesce(F.get(starts, i + 1), F.size(lines)) - start
