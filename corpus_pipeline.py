@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bm25_pack import pack_documents
 from tidemark.llm.entropy_mix import mix_documents
-from tidemark.llm.line_chunks import dedup_lines
+from tidemark.llm.line_chunks import dedup_lines, dedup_passages
 from tidemark.llm.ngram_jaccard import jaccard_components
 from tidemark.llm.quality_rules import keep_quality
 from tidemark.llm.queries import TOKENIZER
@@ -32,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    return mix_documents(docs)
+    """Documents as often as the mixture takes them, once the passages are gone that chunks of lines could not find."""
+    docs = dedup_passages(docs)
+    return mix_documents(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

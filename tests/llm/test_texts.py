@@ -286,6 +286,36 @@ def test_chunks_of_a_long_passage_move_with_it(spark):
     assert all(left[k].count("an equal line") <= 70 for k in (1, 2))
 
 
+def plain_passages(rows):
+    """Lines that lie in a range of 50 words or more, of lines, that occurs before; the shortest such ranges suffice."""
+    texts, first, out = {i: (t or "").split("\n") for i, t in sorted(rows)}, {}, {}
+    for i, lines in texts.items():
+        sizes, gone = [len(WORD.findall(x)) for x in lines], set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(sizes[a : b + 1]) >= 50 and sizes[a] and sizes[b]:
+                    j, c = first.setdefault(tuple(lines[a : b + 1]), (i, a))
+                    if j < i or a >= c + b + 1 - a:
+                        gone |= set(range(a, b + 1))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_passages_of_short_lines_go_wherever_they_stand(spark, small):
+    rows = []
+    for n in range(4, 9):  # lines of 13 words
+        passage = "\n".join(f"{n} {i} " + " ".join(f"word{n * 100 + i * 10 + j}" for j in range(11)) for i in range(n))
+        rows += [(n * 10 + k, "\n".join(f"own {n} {k} {j}" for j in range(3 * k)) + f"\n{passage}\nown end {n} {k}", "a") for k in range(3)]
+    rows += [(200, "\n".join(["ten words in a line that is said again here"] * 23), "a"), (201, "\n" * 500 + "a", "a")]
+    both = (line_chunks.CHUNKS, line_chunks.PASSAGES)
+    report = {r["doc_id"]: r for r in line_chunks.chunk_report(cases(spark, rows), kinds=both).collect()}
+    assert all(report[n * 10 + k]["removed_lines"] >= n and report[n * 10]["removed_lines"] == 0 for n in range(4, 9) for k in (1, 2))
+    left = {r["doc_id"]: r["text"] for r in line_chunks.dedup_passages(cases(spark, rows)).collect()}
+    assert left == plain_passages([r[:2] for r in rows]) and left[200].count("\n") == 4
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 20000")
+    assert {r["doc_id"]: r["text"] or "" for r in line_chunks.dedup_passages(docs).collect()} == plain_passages(rows_of(docs))
+
+
 def test_packing(table, spark):
     pieces = bm25_pack.pack_documents(table, tokenizer_path(TOKENIZER)).collect()
     ids = {i: [*x, 1] for i, x in library_counts(rows_of(table))}

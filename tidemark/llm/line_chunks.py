@@ -5,6 +5,9 @@ value is a strict local minimum. Borders depend on the lines around them only, s
 other lines is cut alike again, and minima are two lines or more apart. A line as long as a passage is a chunk of its
 own. Chunks of two lines or more, and such long lines, that occur again anywhere are found by digest, confirmed by
 comparing their bytes, and removed except for the first occurrence in order of doc_id and place.
+
+A chunk is found only if both its borders lie within what repeats. Passages of shorter lines are therefore found by
+units: the shortest ranges of lines with PASSAGE_WORDS words from, and up to, every line. They need no borders.
 """
 
 from __future__ import annotations
@@ -16,20 +19,21 @@ from tidemark.llm.scratch import Scratch, fence
 
 #: Only chunks of so many lines and characters count.
 LEAST_LINES, LEAST_CHARS = 2, 40
-#: A line of so many words is a passage: it is not joined with its neighbours and counts alone.
+#: So many words are a passage. A line of as many is not joined with its neighbours and counts alone.
 PASSAGE_WORDS = 50
 #: A run of lines without a local minimum (equal values, or values that only rise or fall) is cut every so many lines,
 #: counted from the run's own first line, so that these cuts move with the passage too.
 MOST_LINES = 64
+#: The kinds of ranges that are looked for.
+CHUNKS, PASSAGES = "chunks", "passages"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def is_passage(line: Column) -> Column:
-    words = F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return F.when(F.length(line) >= 2 * PASSAGE_WORDS - 1, words >= PASSAGE_WORDS).otherwise(F.lit(False))
+def words_in(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
 
 
 def chunk_starts(values: Column, passages: Column) -> Column:
@@ -48,58 +52,132 @@ def run_starts(starts: Column, n_lines: Column) -> Column:
     return F.flatten(F.transform(starts, lambda s, k: F.sequence(s, F.coalesce(F.get(starts, k + 1), n_lines) - 1, F.lit(MOST_LINES))))
 
 
-def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs with _chunks, its text as an array of (lines, passage, text), whose texts joined by line ends are the whole."""
-    lines, hashes, values, passages, starts = (F.col(c) for c in ("_lines", "_hashes", "_values", "_passages", "_starts"))
-    out = docs.withColumn("_lines", lines_of(F.col("text").cast("string")))
-    out = out.withColumn("_hashes", F.transform(lines, lambda x: F.xxhash64(x)))
-    out = out.withColumn("_values", F.transform(hashes, lambda h, i: F.xxhash64(h, F.coalesce(F.get(hashes, i - 1), F.lit(0)))))
-    out = out.withColumn("_passages", F.transform(lines, is_passage)).withColumn("_starts", chunk_starts(values, passages))
-    out = fence(out).withColumn("_starts", run_starts(starts, F.size(lines)))
+def _span(start: Column, n: Column) -> Column:
+    """A range of lines as one long that sorts by its start."""
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(n.cast("long"))
+
+
+def _start(span: Column) -> Column:
+    return F.shiftright(span, 32).cast("int")
+
+
+def _size(span: Column) -> Column:
+    return span.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
 
-    def chunk(start: Column, i: Column) -> Column:
-        n = F.coalesce(F.get(starts, i + 1), F.size(lines)) - start
-        return F.struct(n.alias("lines"), F.get(passages, start).alias("passage"), F.array_join(F.slice(lines, start + 1, n), "\n").alias("text"))
+def _text(lines: Column, span: Column) -> Column:
+    return F.array_join(F.slice(lines, _start(span) + 1, _size(span)), "\n")
 
-    return fence(out.withColumn("_chunks", F.transform(starts, chunk)).drop("_lines", "_hashes", "_values", "_passages", "_starts"))
 
+def _lengths(words: Column) -> Column:
+    """For each of words (of lines that have any) how many from it on hold PASSAGE_WORDS together, 0 if all do not."""
+    enough = PASSAGE_WORDS << 6  # sum and count are one long: no passage needs more than PASSAGE_WORDS lines
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, digest, chars) of every chunk that counts."""
-    out = with_chunks(docs.select("doc_id", "text")).select("doc_id", F.posexplode("_chunks").alias("place", "chunk"))
-    out = out.where(F.col("chunk.passage") | (F.col("chunk.lines") >= LEAST_LINES) & (F.length("chunk.text") >= LEAST_CHARS))
-    return out.select("doc_id", "place", F.xxhash64("chunk.text").alias("digest"), F.length("chunk.text").alias("chars"))
+    def length(k: Column) -> Column:
+        got = F.aggregate(F.slice(words, k + 1, PASSAGE_WORDS), F.lit(0).cast("long"), lambda a, w: F.when(a < enough, a + w.cast("long") * 64 + 1).otherwise(a))
+        return F.when(got >= enough, got.bitwiseAND(F.lit(63))).otherwise(F.lit(0)).cast("int")
 
+    return F.transform(F.sequence(F.lit(0), F.size(words) - 1), length)
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, place) of each chunk whose bytes occur before, by doc_id and place.
 
-    Digests say which chunks may repeat; only documents that hold such chunks are read again for their bytes.
+def passage_spans(docs: DataFrame) -> DataFrame:
+    """docs (_words, the words of each line) with _units: the shortest ranges of PASSAGE_WORDS words from, and up to, each line.
+
+    They begin and end at lines with words. Every range of lines that begins and ends so and has as many words is the
+    union of the units within it, so units that repeat cover just the passages that repeat.
+    """
+    full, words, back, ahead, behind = (F.col(c) for c in ("_full", "_some", "_back", "_ahead", "_behind"))
+    out = docs.withColumn("_full", F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: F.get(F.col("_words"), i) > 0))
+    out = fence(out).withColumn("_some", F.transform(full, lambda i: F.get(F.col("_words"), i)))
+    out = fence(out).withColumn("_back", F.reverse(words))
+    none = F.array().cast("array<int>")
+    out = fence(out).withColumn("_ahead", F.when(F.size(words) > 0, _lengths(words)).otherwise(none)).withColumn("_behind", F.when(F.size(words) > 0, _lengths(back)).otherwise(none))
+    out = fence(out).withColumn("_behind", F.reverse(behind))
+
+    def between(k: Column, j: Column) -> Column:
+        return _span(F.get(full, k), F.get(full, j) - F.get(full, k) + 1)
+
+    down = F.transform(ahead, lambda n, k: F.when(n > 0, between(k, k + n - 1)))
+    up = F.transform(behind, lambda n, k: F.when(n > 0, between(k - n + 1, k)))
+    out = out.withColumn("_units", F.array_compact(F.array_union(down, up)))
+    return fence(out).drop("_full", "_some", "_back", "_ahead", "_behind")
+
+
+def with_starts(docs: DataFrame) -> DataFrame:
+    """docs with _lines, their _hashes and _words, and _starts, the places at which chunks start."""
+    lines, hashes, values, words, starts = (F.col(c) for c in ("_lines", "_hashes", "_values", "_words", "_starts"))
+    out = docs.withColumn("_lines", lines_of(F.col("text").cast("string")))
+    out = out.withColumn("_hashes", F.transform(lines, lambda x: F.xxhash64(x))).withColumn("_words", F.transform(lines, words_in))
+    out = out.withColumn("_values", F.transform(hashes, lambda h, i: F.xxhash64(h, F.coalesce(F.get(hashes, i - 1), F.lit(0)))))
+    out = out.withColumn("_passages", F.transform(words, lambda n: n >= PASSAGE_WORDS)).withColumn("_starts", chunk_starts(values, F.col("_passages")))
+    out = fence(out).withColumn("_starts", run_starts(starts, F.size(lines)))
+    return fence(out.drop("_values", "_passages"))
+
+
+def _marks(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(doc_id, span, digest) of every range of lines that counts: chunks, units of passages, or both."""
+    lines, hashes, words, starts = (F.col(c) for c in ("_lines", "_hashes", "_words", "_starts"))
+    out = with_starts(docs.select("doc_id", "text"))
+    chunks = F.transform(starts, lambda s, k: _span(s, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s))
+    out = fence(out.withColumn("_chunks", chunks)).withColumn(
+        "_chunks", F.filter("_chunks", lambda c: (F.get(words, _start(c)) >= PASSAGE_WORDS) | (_size(c) >= LEAST_LINES) & (F.length(_text(lines, c)) >= LEAST_CHARS))
+    )
+    if CHUNKS not in kinds:
+        out = out.withColumn("_chunks", F.array().cast("array<bigint>"))
+    out = fence(out)
+    if PASSAGES in kinds:
+        out = passage_spans(out)
+    spans = F.array_union("_chunks", "_units") if PASSAGES in kinds else F.col("_chunks")
+    out = fence(out.select("doc_id", "_hashes", spans.alias("_spans")))
+    marks = F.transform("_spans", lambda s: F.struct(s.alias("span"), F.xxhash64(F.slice(hashes, _start(s) + 1, _size(s))).alias("digest")))
+    return out.select("doc_id", F.explode(marks).alias("c")).select("doc_id", "c.*")
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, kinds: tuple[str, ...]) -> DataFrame:
+    """(doc_id, span) of each such range of lines whose bytes occur before it, by doc_id and place, without overlap.
+
+    Digests say which may repeat; only documents that hold such ranges are read again for their bytes.
     """
-    marks = scratch.keep(_marks(docs))
-    again = marks.groupBy("digest", "chars").agg(F.count("*").alias("n")).where("n > 1").select("digest", "chars")
-    wanted = marks.join(again, ["digest", "chars"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("place", "digest")).alias("_wanted"))
-    chunks = with_chunks(docs.join(wanted.hint("shuffle_hash"), "doc_id"))
-    seen = chunks.select("doc_id", F.explode(F.transform("_wanted", lambda w: F.struct(w["place"].alias("place"), w["digest"].alias("digest"), F.get("_chunks", w["place"])["text"].alias("text")))).alias("c"))
+    marks = scratch.keep(_marks(docs, kinds))
+    again = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    wanted = marks.join(again, "digest", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("span", "digest")).alias("_wanted"))
+    texts = fence(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "_wanted", lines_of(F.col("text")).alias("_lines")))
+    seen = texts.select("doc_id", F.explode(F.transform("_wanted", lambda w: F.struct(w["span"].alias("span"), w["digest"].alias("digest"), _text(F.col("_lines"), w["span"]).alias("text")))).alias("c"))
     seen = scratch.keep(seen.select("doc_id", "c.*"))
     # Equal bytes, not only equal digests: the text itself is the key. Minima are combined before the shuffle.
     first_doc = seen.groupBy("digest", "text").agg(F.min("doc_id").alias("doc_id"))
-    first = seen.join(first_doc, ["digest", "text", "doc_id"]).groupBy("digest", "text").agg(F.min("doc_id").alias("first_doc"), F.min("place").alias("first_place"))
-    later = seen.join(first, ["digest", "text"]).where((F.col("doc_id") > F.col("first_doc")) | (F.col("place") > F.col("first_place")))
-    out = scratch.keep(later.select("doc_id", "place").distinct())
+    first = seen.join(first_doc, ["digest", "text", "doc_id"]).groupBy("digest", "text").agg(F.min("doc_id").alias("first_doc"), F.min("span").alias("first_span"))
+    behind = _start(F.col("span")) >= _start(F.col("first_span")) + _size(F.col("first_span"))
+    later = seen.join(first, ["digest", "text"]).where((F.col("doc_id") > F.col("first_doc")) | behind)
+    out = scratch.keep(later.select("doc_id", "span").distinct())
     scratch.drop(marks, seen)
     return out
 
 
-def _removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs (doc_id, text, ...) with _gone, the sorted places of its repeated chunks (null for none)."""
-    gone = repeated_chunks(docs, scratch).groupBy("doc_id").agg(F.sort_array(F.collect_list("place")).alias("_gone"))
+def _removed(docs: DataFrame, scratch: Scratch, kinds: tuple[str, ...]) -> DataFrame:
+    """docs (doc_id, text, ...) with _gone, the ranges of lines to remove (null for none)."""
+    gone = repeated_spans(docs, scratch, kinds).groupBy("doc_id").agg(F.collect_list("span").alias("_gone"))
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
 
 
-def _kept_text(chunks: Column, gone: Column) -> Column:
-    left = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.coalesce(gone, F.array().cast("array<int>")))
-    return F.array_join(F.transform(left, lambda i: F.get(chunks, i)["text"]), "\n")
+def _left(lines: Column, gone: Column) -> Column:
+    """Places of the lines that stay."""
+    places = F.flatten(F.transform(gone, lambda s: F.sequence(_start(s), _start(s) + _size(s) - 1)))
+    return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(places, F.array().cast("array<int>")))
+
+
+def _joined(lines: Column, left: Column) -> Column:
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+
+def _dedup(docs: DataFrame, scratch: Scratch, kinds: tuple[str, ...]) -> DataFrame:
+    held = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("_row"))
+    out = fence(_removed(held, scratch, kinds).withColumn("_lines", F.when(F.col("_gone").isNotNull(), lines_of(F.col("text")))))
+    out = fence(out.withColumn("_left", _left(F.col("_lines"), F.col("_gone"))))
+    text = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.col("text")).otherwise(_joined(F.col("_lines"), F.col("_left")))
+    out = fence(out.select("_row", text.alias("_text")))
+    new = {"text": F.col("_text")} | ({"n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -110,23 +188,30 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     passages and short chunks always stay. Rows that repeat a doc_id are cut alike: what goes from one goes from all. An empty table
     gives no rows.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
-    held = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("_row"))
-    out = with_chunks(_removed(held, scratch))
-    text = F.when(F.col("text").isNull() | F.col("_gone").isNull(), F.col("text")).otherwise(_kept_text(F.col("_chunks"), F.col("_gone")))
-    out = fence(out.select("_row", text.alias("_text")))
-    new = {"text": F.col("_text")} | ({"n_chars": F.coalesce(F.length("_text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
+    return _dedup(docs, scratch or Scratch(docs.sparkSession, "lines"), (CHUNKS,))
+
+
+def dedup_passages(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Like dedup_lines, for whole lines that hold PASSAGE_WORDS words or more together and occur before, wherever chunks end.
+
+    Occurrences that overlap the first one in its own text stay.
+    """
+    return _dedup(docs, scratch or Scratch(docs.sparkSession, "lines"), (PASSAGES,))
 
 
-def chunk_report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_lines, n_chunks, removed_chunks, removed_lines, kept_chars, kept_md5) for every row of docs."""
+def chunk_report(docs: DataFrame, scratch: Scratch | None = None, kinds: tuple[str, ...] = (CHUNKS,)) -> DataFrame:
+    """(doc_id, n_lines, n_chunks, removed_chunks, removed_lines, kept_chars, kept_md5) for every row of docs.
+
+    kinds says whether repeated chunks, passages or both go; removed_chunks counts the chunks of which no line stays.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     held = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out = with_chunks(_removed(held, scratch)).withColumn("_left", F.coalesce(_kept_text(F.col("_chunks"), F.col("_gone")), F.lit("")))
-    gone_lines = F.aggregate(F.transform(F.coalesce("_gone", F.array().cast("array<int>")), lambda i: F.get(F.col("_chunks"), i)["lines"]), F.lit(0), lambda a, x: a + x)
-    n_lines = F.aggregate(F.transform("_chunks", lambda c: c["lines"]), F.lit(0), lambda a, x: a + x)
+    lines, starts = F.col("_lines"), F.col("_starts")
+    out = fence(with_starts(_removed(held, scratch, kinds)).withColumn("_left", _left(lines, F.col("_gone"))))
+    chunk_of = F.flatten(F.transform(starts, lambda s, k: F.array_repeat(k, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s)))
+    out = fence(out.withColumn("_chunk_of", chunk_of).withColumn("_kept", _joined(lines, F.col("_left"))))
+    held_chunks = F.size(F.array_distinct(F.transform("_left", lambda i: F.get(F.col("_chunk_of"), i))))
     return out.select(
-        "doc_id", n_lines.cast("long").alias("n_lines"), F.size("_chunks").cast("long").alias("n_chunks"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks"),
-        gone_lines.cast("long").alias("removed_lines"), F.length("_left").cast("long").alias("kept_chars"), F.md5("_left").alias("kept_md5"),
+        "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(starts).cast("long").alias("n_chunks"), (F.size(starts) - held_chunks).cast("long").alias("removed_chunks"),
+        (F.size(lines) - F.size("_left")).cast("long").alias("removed_lines"), F.length("_kept").cast("long").alias("kept_chars"), F.md5("_kept").alias("kept_md5"),
     )

@@ -55,7 +55,7 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.chunk_report(_table(spark, sf_dir, "documents"))
+    return line_chunks.chunk_report(_table(spark, sf_dir, "documents"), kinds=(line_chunks.CHUNKS, line_chunks.PASSAGES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
