@@ -125,6 +125,11 @@ def test_foreign_arc_files(spark, tmp_path):
             list(warc.parse_arc(warc.arc_version_block("1", "c") + b"\n" + bad))
 
 
+def test_only_the_version_block_is_skipped():
+    data = warc.arc_version_block("1", "c") + b"\n" + warc.arc_record("1", "filedesc://page", b"hi", "c")
+    assert [(f["URL"], block) for f, block in warc.parse_arc(data)] == [("filedesc://page", b"hi")]
+
+
 def test_record_ids_hold_their_key():
     for key in (0, 1, -1, 2**63 - 1, -(2**63), 123456789):
         assert warc.record_key(warc.record_id(key)) == key

@@ -108,6 +108,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """
     at, fields = 0, None
     while at < len(data):
+        is_first = fields is None
         end = data.find(b"\n", at)
         line = data[at : len(data) if end < 0 else end].rstrip(b"\r")
         at = len(data) if end < 0 else end + 1
@@ -124,7 +125,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         size = int(parts[-1])
         if at + size > len(data):
             raise ValueError(f"a record of {size} bytes ends behind its file")
-        if not parts[0].startswith("filedesc:"):
+        if not is_first:  # a later URL of filedesc: is a capture
             yield dict(zip(fields, parts, strict=True)), data[at : at + size]
         at += size
 
