@@ -37,3 +37,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         n, one = e.agg(F.count("*"), F.countDistinct("u")).first()
         if n == one and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def merged(comps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """components of the edges that made comps and of further ones."""
+    stars = comps.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return components(stars.union(edges), scratch)

@@ -10,10 +10,13 @@ set with too few filled segments for the bound also emits the shingles of its Ja
 sets meet there. Candidates pass a size test and the Hamming distance of a flat parity sketch, which never
 exceeds the symmetric difference, and are then verified on the sets themselves.
 
-Buckets are read as streams that keep one hub for each key: members are compared with the hub first, linked
-members are joined into components, and only the pairs of a bucket that are in different components after
-that are compared one by one, in blocks. Every pair of different texts that could link is thus either in one
-component or was compared. Shingles are compared as 64-bit hashes.
+Buckets are read as streams that keep one hub for each key: members are compared with the hub first and linked
+members are joined into components. Buckets with members in different components after that are compared in cells
+of two bounded blocks, where what links is joined at once; a cell gives fewer rows than it has members, never its
+pairs. Before, each set leaves out as many of the largest of these buckets as the bound on D lets it do without,
+so what very many unlike texts share makes no large bucket. Every pair of different texts that could link is thus
+either in one component or was compared. Shingles are compared as 64-bit hashes, and sets with an equal 64-bit
+hash of all their shingles are one.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.cells import by_cell, roots
+from tidemark.llm.components import components, merged
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.shingles import mix, shingle_sets
 
@@ -36,8 +40,10 @@ REDUCE_BYTES = 12 << 20
 MERGE_ROWS = 1 << 20
 #: A map task sorts its segment rows after so many.
 EMIT_ROWS = 1 << 19
-#: Rows of a bucket that are compared with each other at a time.
-BLOCK = 256
+#: A key with more rows than this in one map task's block is hot.
+HOT_ROWS = 64
+#: Sets of a bucket, and about so many shingles of them, that are compared with each other at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Least and most columns of a flat sketch, whose number is the power of two from the set's size on.
 COLUMNS = (512, 1 << 17)
 
@@ -76,18 +82,37 @@ def _seed(band: int) -> np.uint64:
     return np.uint64((band * 0x9E3779B97F4A7C15 + 0x1234567) & 0xFFFFFFFFFFFFFFFF)
 
 
-def signatures(u: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a sorted set of shingle hashes meets every set that it may link with."""
-    keys, size = [], len(u)
+#: The last bits of a key name its band; those of a Jaccard prefix have the last number.
+BAND_BITS, PREFIX_TAG = 7, 127
+#: A number of keys that a set can do without takes so many bits, for at most so many bands.
+SPARE_BITS, SPARE_BANDS = 14, 4
+
+
+def _tagged(key: np.ndarray, tag: int) -> np.ndarray:
+    return (key & ~np.uint64(PREFIX_TAG)) | np.uint64(min(tag, PREFIX_TAG))
+
+
+def signatures(u: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Keys under which a sorted set of shingle hashes meets every set that it may link with, and its spare keys.
+
+    Linked sets share at least f - d keys of a band in which one of them has f filled segments and d may differ, so in
+    any order of all keys they still meet if each leaves out its last f - d - 1. That number is packed for each band
+    behind the number of the set's own band.
+    """
+    keys, size, spare = [], len(u), 0
     spread, top = mix(u ^ np.uint64(0x5851F42D4C957F2D)), u >> np.uint64(32)
-    for band, d, k in instances(size, percent):
+    for k_band, (band, d, k) in enumerate(instances(size, percent)):
         seg = (top * np.uint64(k)) >> np.uint64(32)  # u is sorted, so a segment is a run
         starts = np.flatnonzero(np.diff(seg, prepend=np.uint64(k)))
-        keys.append(mix(np.bitwise_xor.reduceat(spread, starts) + seg[starts] * np.uint64(0xD6E8FEB86659FD93) + _seed(band)))
+        keys.append(_tagged(mix(np.bitwise_xor.reduceat(spread, starts) + seg[starts] * np.uint64(0xD6E8FEB86659FD93) + _seed(band)), band))
+        if k_band == 0:
+            spare |= band
         if len(starts) <= d:
             prefix = size - (size * percent + 99) // 100 + 1
-            keys.append(mix(u[:prefix] * np.uint64(0xA0761D6478BD642F) + _seed(band + 1000)))
-    return np.concatenate(keys)
+            keys.append(_tagged(mix(u[:prefix] * np.uint64(0xA0761D6478BD642F) + _seed(band + 1000)), PREFIX_TAG))
+        elif k_band < SPARE_BANDS:
+            spare |= min(len(starts) - d - 1, (1 << SPARE_BITS) - 1) << (BAND_BITS + k_band * SPARE_BITS)
+    return np.concatenate(keys), spare
 
 
 def flat_sketch(u: np.ndarray) -> bytes:
@@ -110,30 +135,54 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
 
 
 def _blocks(keys: list[np.ndarray], owners: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
+    """Sorted (key, owner) rows for each reduce task. Of a key with very many rows all but three go to a task of their own.
+
+    The third row goes to both, so that their hubs are compared with one set at least.
+    """
     k, o = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(k, kind="stable")
     k, o = k[order], o[order]
     part = ((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    run = np.diff(np.append(starts, len(k)))
+    if (run > HOT_ROWS).any():
+        place = np.arange(len(k)) - np.repeat(starts, run)
+        hot = np.repeat(run > HOT_ROWS, run)
+        other = mix(k ^ mix(np.repeat(o[starts], run).view(np.uint64)))
+        part = np.where(hot & (place > 2), ((other >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), part)
+        both = np.flatnonzero(hot & (place == 2))
+        k, o = np.concatenate([k, k[both]]), np.concatenate([o, o[both]])
+        part = np.concatenate([part, part[both + 1]])
+        order = np.lexsort((k, part))
+        k, o, part = k[order], o[order], part[order]
     cuts = np.flatnonzero(np.diff(part, prepend=np.uint64(parts)))
     for i, j in zip(cuts, [*cuts[1:], len(k)], strict=True):
         yield int(part[i]), b"S" + k[i:j].tobytes() + o[i:j].tobytes()
 
 
+def _identity(u: np.ndarray) -> int:
+    """A 64-bit number for a set, as a signed one; equal sets are one node of the search."""
+    if not len(u):
+        return 0
+    both = np.array([mix(u).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(u + np.uint64(77)))], np.uint64)
+    return int(mix(both + np.array([len(u), 0], np.uint64))[::-1].cumsum(dtype=np.uint64)[-1].view(np.int64))
+
+
 def _emit(batches: Iterator[pa.RecordBatch], parts: int, width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Blocks (p, data) for reduce task p: sorted (key, doc) pairs, and facts of texts with their sketches."""
+    """Blocks (p, data) for reduce task p: sorted (key, node) pairs, and facts of texts with their sketches."""
 
     def table(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], ["p", "data"])
 
     for batch in batches:
-        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        docs = batch.column("doc_id").to_numpy()
         facts, sketches, keys, owners, seen, rows = [], [], [], [], set(), 0
 
         def full() -> list[tuple[int, bytes]]:
             out = []
             if facts:
-                own = np.array(facts, np.uint64)
-                out.append((int(mix(own[:1, 0].copy())[0] % np.uint64(parts)), b"F" + np.int64(len(own)).tobytes() + own.tobytes() + b"".join(sketches)))
+                own = np.array(facts, np.int64)
+                out.append((int(mix(own[:1, 0].view(np.uint64))[0] % np.uint64(parts)), b"F" + np.int64(len(own)).tobytes() + own.tobytes() + b"".join(sketches)))
             if keys:
                 out += _blocks(keys, owners, parts)
             for x in (facts, sketches, keys, owners):
@@ -142,17 +191,20 @@ def _emit(batches: Iterator[pa.RecordBatch], parts: int, width: int, percent: in
             return out
 
         for doc, u in zip(docs, shingle_sets(_texts(batch), width), strict=True):
-            a, b = (int(mix(u).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(u + np.uint64(77))))) if len(u) else (0, 0)
-            sketches.append(flat_sketch(u))
-            facts.append((int(np.int64(doc).view(np.uint64)), len(u), a, b, len(sketches[-1])))
-            if len(u) and most_different(len(u), len(u) * 100 // percent, percent) > 0 and (a, b) not in seen:
-                seen.add((a, b))  # a copy nearby shares its class and needs no keys of its own
-                keys.append(signatures(u, percent))
-                owners.append(np.full(len(keys[-1]), doc, np.int64))
-                rows += len(keys[-1])
-                if rows >= EMIT_ROWS:
-                    yield table(full())
-                    rows = 0
+            node, spare, sketch = _identity(u), 0, b""
+            if len(u) and node not in seen:  # a copy nearby is the same node and needs nothing of its own
+                seen.add(node)
+                sketch = flat_sketch(u)
+                if most_different(len(u), len(u) * 100 // percent, percent) > 0:
+                    own, spare = signatures(u, percent)
+                    keys.append(own)
+                    owners.append(np.full(len(own), node, np.int64))
+                    rows += len(own)
+            sketches.append(sketch)
+            facts.append((doc, len(u), node, spare, len(sketch)))
+            if rows >= EMIT_ROWS:
+                yield table(full())
+                rows = 0
         yield table(full())
 
 
@@ -228,7 +280,7 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = int(np.frombuffer(data, np.int64, 1, 1)[0])
                 f = np.frombuffer(data, np.int64, 5 * n, 9).reshape(n, 5)
                 ends = 9 + 40 * n + np.cumsum(f[:, 4])
-                yield table(_META, [f[:, i] for i in range(4)], [data[e - k : e] for e, k in zip(ends, f[:, 4], strict=True)])
+                yield table(_META, [f[:, i] for i in range(4)], [data[e - k : e] if k else None for e, k in zip(ends, f[:, 4], strict=True)])
                 continue
             body = np.frombuffer(data, np.int64, offset=1)
             n = len(body) // 2
@@ -241,9 +293,21 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(node, items) of rows (node, text) whose text has the node's set, once; a repeated doc_id can bring others."""
+    seen: set[int] = set()
+    for batch in batches:
+        nodes, items = [], []
+        for node, u in zip(batch.column("node").to_pylist(), shingle_sets(_texts(batch), width), strict=True):
+            if node not in seen and _identity(u) == node:
+                seen.add(node)
+                nodes.append(node)
+                items.append(u.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [u.tobytes() for u in shingle_sets(_texts(batch), width)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(u) for u in shingle_sets(_texts(batch), width)], pa.int64())], ["n"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -276,59 +340,128 @@ def _prune(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "keys")], ["a", "b", "keys"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of different components from rows sorted by cell, side by side; a cell holds two blocks at most."""
-    held: list[pa.RecordBatch] = []
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        cell = rows.column("cell_id").to_numpy()
-        cuts = np.flatnonzero(np.diff(cell)) + 1
-        doc, comp, n, right = (rows.column(c).to_numpy() for c in ("doc", "comp", "n", "right"))
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell, without their sketches, that could link with one of another component in it."""
+    for rows, cuts in by_cell(batches):
+        comp, n, right = (rows.column(c).to_numpy() for c in ("comp", "n", "right"))
         sketches = rows.column("sketch").to_pylist()
-        for i, j in zip([0, *cuts], [*cuts, len(cell)], strict=True):
-            side = right[i:j]
+        keep = np.zeros(len(comp), bool)
+        for i, j in cuts:
             least = min(map(len, sketches[i:j]))
             sketch = np.stack([folded(x, least) for x in sketches[i:j]])
-            l = np.flatnonzero(side != 2) + i  # noqa: E741
-            r = np.flatnonzero(side != 1) + i
-            for lo in range(0, len(l), BLOCK):
-                a = l[lo : lo + BLOCK]
-                for ro in range(0, len(r), BLOCK):
-                    b = r[ro : ro + BLOCK]
+            l, r = (np.flatnonzero(right[i:j] != side) + i for side in (2, 1))  # noqa: E741
+            for lo in range(0, len(l), 256):
+                a = l[lo : lo + 256]
+                for ro in range(0, len(r), 256):
+                    b = r[ro : ro + 256]
                     far = np.zeros((len(a), len(b)), np.int64)
                     for w in range(0, sketch.shape[1], 16):
                         far += np.bitwise_count(sketch[a - i, None, w : w + 16] ^ sketch[None, b - i, w : w + 16]).sum(2, dtype=np.int64)
                     ok = _possible(far, n[a][:, None], n[b][None, :], percent) & (comp[a][:, None] != comp[b][None, :])
-                    x, y = np.nonzero(ok)
-                    out_a.append(doc[a[x]])
-                    out_b.append(doc[b[y]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if batch.column("cell_id")[0].as_py() == batch.column("cell_id")[-1].as_py():
-            continue
-        rows = pa.Table.from_batches(held)
-        last = rows.column("cell_id")[-1].as_py()
-        cut = int(np.argmax(rows.column("cell_id").to_numpy() == last))
-        if cut:
-            yield done(rows.slice(0, cut))
-        held = rows.slice(cut).to_batches()
-    if held:
-        yield done(pa.Table.from_batches(held))
+                    keep[a] |= ok.any(1)
+                    keep[b] |= ok.any(0)
+        left = rows.select(["cell_id", "node", "comp", "n", "right"]).filter(pa.array(keep))
+        yield from left.combine_chunks().to_batches()
+
+
+def shared_items(sets: list[np.ndarray], l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Sizes of the intersections of sets l with sets r, as products of 0/1 columns of the items that two sets hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    again = count[column] > 1
+    owner, column = owner[again], number[column[again]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(l), len(r)), np.float32)
+    step = max(256, (1 << 21) // len(sets))
+    for lo in range(0, int((count > 1).sum()), step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        holds = np.zeros((len(sets), step), np.float32)
+        holds[owner[a:b], column[a:b] - lo] = 1
+        out += holds[l] @ holds[r].T
+    return out.astype(np.int64)
+
+
+def _join(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(u, v) for each row of a cell that links, by way of others, with a first one: fewer than the cell has rows."""
+    for rows, cuts in by_cell(batches):
+        node, comp, n, right = (rows.column(c).to_numpy() for c in ("node", "comp", "n", "right"))
+        items = rows.column("items").to_pylist()
+        out_u, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, j in cuts:
+            l, r = (np.flatnonzero(right[i:j] != side) for side in (2, 1))  # noqa: E741
+            both = shared_items([np.frombuffer(x, np.uint64) for x in items[i:j]], l, r)
+            size, own = n[i:j], comp[i:j]
+            linked = (100 * both >= percent * (size[l][:, None] + size[r][None, :] - both)) & (own[l][:, None] != own[r][None, :])
+            x, y = np.nonzero(linked)
+            root = roots(j - i, l[x], r[y])
+            moved = np.flatnonzero(root != np.arange(j - i))
+            out_u.append(node[i:j][moved])
+            out_v.append(node[i:j][root[moved]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_u)), pa.array(np.concatenate(out_v))], ["u", "v"])
 
 
 def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda c: sets.select(F.col("doc").alias(c), F.col("items").alias(f"items_{c}"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("items").alias(f"items_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b")
     return both.mapInArrow(lambda it: _verify(it, percent), "u long, v long")
 
 
-def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+def _label(rows: DataFrame, c: str, comps: DataFrame, name: str) -> DataFrame:
+    return rows.join(comps.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+
+
+class _Search:
+    """What the steps of one call share: the texts, the classes of equal sets, and the scratch folder."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, scratch: Scratch):
+        self.docs, self.classes, self.width, self.percent, self.scratch = docs, classes, width, percent, scratch
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, items) of nodes (node), read from one text of each."""
+        width = self.width
+        wanted = nodes.join(self.classes.select("node", F.col("rep").alias("doc_id")), "node")
+        texts = self.docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
+        return self.scratch.keep(texts.mapInArrow(lambda it: _sets(it, width), "node long, items binary"))
+
+    def beside(self, rows: DataFrame, c: str) -> DataFrame:
+        return rows.join(self.classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+
+    def with_mixed(self, rows: DataFrame) -> DataFrame:
+        """rows (key, node, comp) of the keys with several components, with the key's number of rows and shingles."""
+        rows = rows.join(self.classes.select("node", "n", "spare"), "node")
+        mixed = rows.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return rows.join(self.scratch.keep(mixed.select("key", "rows", "shingles")), "key")
+
+    def in_buckets(self, members: DataFrame, comps: DataFrame, first: bool) -> DataFrame:
+        """(u, v) that join the components of members (key, node) that links within a bucket join.
+
+        A node leaves out its spare keys, those with the most rows first. If first, it only stands in the largest bucket left.
+        """
+        scratch, percent = self.scratch, self.percent
+        rows = scratch.keep(self.with_mixed(_label(members, "node", comps, "comp")).distinct())
+        band = F.col("key").bitwiseAND(PREFIX_TAG).cast("int")
+        at = band - F.col("spare").bitwiseAND(PREFIX_TAG).cast("int")
+        spare = sum((F.when(at == k, F.shiftright("spare", BAND_BITS + k * SPARE_BITS).bitwiseAND((1 << SPARE_BITS) - 1)).otherwise(0) for k in range(SPARE_BANDS)), F.lit(0))
+        most = Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")
+        left = rows.withColumn("band", band).withColumn("place", F.row_number().over(most)).where(F.col("place") > spare)
+        if first:
+            left = left.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("rows"), "key"))).where("place = 1")
+        left = scratch.keep(left.select("key", "node", "comp"))
+        cells = self.beside(self.with_mixed(left).select("key", "node", "comp", "rows", "shingles"), "node")
+        cells = cells.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+        cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select(
+            F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell_id"), "node", "comp", F.col("n_node").alias("n"), F.col("sketch_node").alias("sketch"),
+            F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("right"),
+        )
+        dealt = cells.repartition("cell_id").sortWithinPartitions("cell_id")
+        close = scratch.keep(dealt.mapInArrow(lambda it: _close(it, percent), "cell_id long, node long, comp long, n long, right int"))
+        if close.isEmpty():
+            return close.select(F.col("node").alias("u"), F.col("node").alias("v"))
+        full = close.join(self.sets(close.select("node").distinct()), "node").repartition("cell_id").sortWithinPartitions("cell_id")
+        return scratch.keep(full.mapInArrow(lambda it: _join(it, percent), "u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -336,68 +469,45 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
 
     Two texts link when 100 * |intersection| >= percent * |union| of their distinct shingles; component_id is
     the smallest doc_id reachable by links. Texts that are null, empty or without words have no shingles and
-    link with nothing. Rows with equal sets are one class and count once in the search. Other columns are
-    ignored; a repeated doc_id gives a row for each distinct size, an empty table gives no rows.
+    link with nothing; rows without a doc_id link with nothing and have no component_id. Rows with equal sets are
+    one node of the search. Rows that repeat a doc_id stay, and each has the component of its own text. Other columns are
+    ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = every.where("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size * 1.7 / REDUCE_BYTES))
     blocks = docs.mapInArrow(lambda it: _emit(it, parts, width, percent), "p int, data binary")
     found = scratch.keep(blocks.repartition(parts, "p").mapInArrow(_reduce, _FOUND), by="kind")
-    facts = found.where(F.col("kind") == _META).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d", "sketch")
-    classes = facts.where("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"))
-    known = scratch.keep(facts.drop("sketch").join(classes, ["n", "c", "d"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    sketches = facts.select(F.col("doc_id").alias("doc"), "n", "sketch")
-
-    def as_reps(rows: DataFrame, c: str) -> DataFrame:
-        return rows.join(known.select(F.col("doc_id").alias(c), F.col("rep").alias("_rep")), c).drop(c).withColumnRenamed("_rep", c)
-
-    def beside(rows: DataFrame, c: str) -> DataFrame:
-        return rows.join(sketches.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
-
-    pairs = as_reps(as_reps(found.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.count("*").alias("keys")), "a"), "b").where("a <> b")
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("keys").alias("keys"))
-    pairs = scratch.keep(beside(beside(pairs, "a"), "b").mapInArrow(lambda it: _prune(it, percent), "a long, b long, keys long"))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return scratch.keep(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, width), "doc long, items binary"))
-
-    def label(rows: DataFrame, c: str, labels: DataFrame) -> DataFrame:
-        return rows.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-
-    # First the pair of each document with the most common keys, then the pairs that this leaves apart.
-    sets = sets_of(pairs)
+    facts = found.where(F.col("kind") == _META).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), F.col("d").alias("spare"), "sketch")
+    classes = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sketch").alias("sketch"))
+    classes = scratch.keep(classes)
+    search = _Search(docs, classes, width, percent, scratch)
+
+    pairs = found.where(F.col("kind") == _PAIR).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("keys"))
+    pairs = scratch.keep(search.beside(search.beside(pairs, "a"), "b").mapInArrow(lambda it: _prune(it, percent), "a long, b long, keys long"))
+    # First the pair of each node with the most common keys, then the pairs that this leaves apart.
+    sets = search.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     best = Window.partitionBy("b").orderBy(F.desc("keys"), "a")
     links = scratch.keep(_check(pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), sets, percent))
-    comps = scratch.keep(components(links, scratch))
-    rest = label(label(pairs, "a", comps), "b", comps).where("a_comp <> b_comp").select("a", "b")
-    links = links.union(scratch.keep(_check(rest, sets, percent)))
-    scratch.drop(sets)
     comps = components(links, scratch)
+    rest = _label(_label(pairs, "a", comps, "a_comp"), "b", comps, "b_comp").where("a_comp <> b_comp").select("a", "b")
+    comps = merged(comps, scratch.keep(_check(rest, sets, percent)), scratch)
+    scratch.drop(sets)
 
-    # Then the buckets that still hold more than one component.
-    where = label(known.select("doc_id", "rep"), "rep", comps).select(F.col("doc_id").alias("b"), "rep", "rep_comp")
-    members = found.where(F.col("kind") == _MEMBER).select("a", "b").join(where, "b").select(F.col("a").alias("key"), F.col("rep").alias("doc"), F.col("rep_comp").alias("comp"))
-    members = scratch.keep(members)
-    mixed = members.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "rows")
-    mixed = scratch.keep(mixed)
-    cells = beside(members.join(mixed, "key").distinct(), "doc")
-    cells = cells.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(
-        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell_id"), "doc", "comp", F.col("n_doc").alias("n"), F.col("sketch_doc").alias("sketch"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("right"),
-    )
-    close = cells.repartition("cell_id").sortWithinPartitions("cell_id").mapInArrow(lambda it: _cells(it, percent), "a long, b long")
-    close = scratch.keep(_distinct_pairs(close).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    scratch.drop(members, mixed)
-    if not close.isEmpty():
-        sets = sets_of(close)
-        links = links.union(scratch.keep(_check(close, sets, percent)))
-        scratch.drop(sets)
-        comps = components(links, scratch)
-    out = label(known, "rep", comps)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep_comp").alias("component_id")).distinct()
+    # Then the buckets that still hold more than one component: the largest of each node, which join most, then all.
+    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node"))
+    for first in (True, False):
+        joined = search.in_buckets(members, comps, first)
+        if not joined.isEmpty():
+            comps = merged(comps, joined, scratch)
+
+    own = _label(classes.select("node", "rep", "copies"), "node", comps, "root")
+    least = own.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
+    named = scratch.keep(own.join(least, "root").select("node", "component_id"))
+    out = facts.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    without = every.where("doc_id IS NULL").select("text").mapInArrow(lambda it: _sizes(it, width), "n long")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.union(without.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
