@@ -3,8 +3,8 @@
 A rolling hash over the hashes of two neighbouring lines gives each line a value; a chunk ends after a line whose
 value is a strict local minimum. Borders depend on the lines around them only, so a passage that is moved or follows
 other lines is cut alike again, and minima are two lines or more apart. A line as long as a passage is a chunk of its
-own. Chunks of two lines or more, and such long lines, that occur again anywhere are found by digest, confirmed by
-comparing their bytes, and removed except for the first occurrence in order of doc_id and place.
+own. Chunks of two lines or more with a word in them, and such long lines, that occur again anywhere are found by
+digest, confirmed by comparing their bytes, and removed except for the first occurrence in order of doc_id and place.
 
 A chunk is found only if both its borders lie within what repeats. Passages of shorter lines are therefore found by
 units: the shortest ranges of lines with PASSAGE_WORDS words from, and up to, every line. They need no borders.
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch, fence
 
-#: Only chunks of so many lines and characters count.
-LEAST_LINES, LEAST_CHARS = 2, 40
+#: Only chunks of so many lines count.
+LEAST_LINES = 2
 #: So many words are a passage. A line of as many is not joined with its neighbours and counts alone.
 PASSAGE_WORDS = 50
 #: A run of lines without a local minimum (equal values, or values that only rise or fall) is cut every so many lines,
@@ -115,12 +115,12 @@ def with_starts(docs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(doc_id, span, digest) of every range of lines that counts: chunks, units of passages, or both."""
+    """(doc_id, own, span, digest) of every range of lines that counts: chunks, units of passages, or both."""
     lines, hashes, words, starts = (F.col(c) for c in ("_lines", "_hashes", "_words", "_starts"))
-    out = with_starts(docs.select("doc_id", "text"))
+    out = with_starts(docs.where("doc_id IS NOT NULL").select("doc_id", "own", "text"))
     chunks = F.transform(starts, lambda s, k: _span(s, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s))
     out = fence(out.withColumn("_chunks", chunks)).withColumn(
-        "_chunks", F.filter("_chunks", lambda c: (F.get(words, _start(c)) >= PASSAGE_WORDS) | (_size(c) >= LEAST_LINES) & (F.length(_text(lines, c)) >= LEAST_CHARS))
+        "_chunks", F.filter("_chunks", lambda c: (F.get(words, _start(c)) >= PASSAGE_WORDS) | (_size(c) >= LEAST_LINES) & F.exists(F.slice(words, _start(c) + 1, _size(c)), lambda n: n > 0))
     )
     if CHUNKS not in kinds:
         out = out.withColumn("_chunks", F.array().cast("array<bigint>"))
@@ -128,36 +128,43 @@ def _marks(docs: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     if PASSAGES in kinds:
         out = passage_spans(out)
     spans = F.array_union("_chunks", "_units") if PASSAGES in kinds else F.col("_chunks")
-    out = fence(out.select("doc_id", "_hashes", spans.alias("_spans")))
+    out = fence(out.select("doc_id", "own", "_hashes", spans.alias("_spans")))
     marks = F.transform("_spans", lambda s: F.struct(s.alias("span"), F.xxhash64(F.slice(hashes, _start(s) + 1, _size(s))).alias("digest")))
-    return out.select("doc_id", F.explode(marks).alias("c")).select("doc_id", "c.*")
+    return out.select("doc_id", "own", F.explode(marks).alias("c")).select("doc_id", "own", "c.*")
+
+
+#: A row is known by its doc_id and a hash of its text, so that rows that repeat an id are told apart.
+ROW = ["doc_id", "own"]
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, kinds: tuple[str, ...]) -> DataFrame:
-    """(doc_id, span) of each such range of lines whose bytes occur before it, by doc_id and place, without overlap.
+    """(doc_id, own, span) of each such range of lines whose bytes occur before it, by doc_id and place, without overlap.
 
-    Digests say which may repeat; only documents that hold such ranges are read again for their bytes.
+    Digests say which may repeat; only documents that hold such ranges are read again for their bytes. Aggregates are
+    written before they are joined, so that a join can split the rows of a very common range.
     """
     marks = scratch.keep(_marks(docs, kinds))
-    again = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    wanted = marks.join(again, "digest", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("span", "digest")).alias("_wanted"))
-    texts = fence(docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "_wanted", lines_of(F.col("text")).alias("_lines")))
-    seen = texts.select("doc_id", F.explode(F.transform("_wanted", lambda w: F.struct(w["span"].alias("span"), w["digest"].alias("digest"), _text(F.col("_lines"), w["span"]).alias("text")))).alias("c"))
-    seen = scratch.keep(seen.select("doc_id", "c.*"))
+    again = scratch.keep(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    wanted = marks.join(again, "digest", "left_semi").groupBy(*ROW).agg(F.collect_set(F.struct("span", "digest")).alias("_wanted"))
+    texts = fence(docs.join(wanted.hint("shuffle_hash"), ROW).select(*ROW, "_wanted", lines_of(F.col("text")).alias("_lines")))
+    seen = texts.select(*ROW, F.explode(F.transform("_wanted", lambda w: F.struct(w["span"].alias("span"), w["digest"].alias("digest"), _text(F.col("_lines"), w["span"]).alias("text")))).alias("c"))
+    seen = scratch.keep(seen.select(*ROW, "c.*"))
     # Equal bytes, not only equal digests: the text itself is the key. Minima are combined before the shuffle.
-    first_doc = seen.groupBy("digest", "text").agg(F.min("doc_id").alias("doc_id"))
-    first = seen.join(first_doc, ["digest", "text", "doc_id"]).groupBy("digest", "text").agg(F.min("doc_id").alias("first_doc"), F.min("span").alias("first_span"))
+    first_doc = scratch.keep(seen.groupBy("digest", "text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    first = seen.join(first_doc, ["digest", "text", "doc_id"]).groupBy("digest", "text").agg(F.min(F.struct(*ROW, "span")).alias("first"))
+    first = scratch.keep(first.select("digest", "text", "first.doc_id", "first.own", "first.span").toDF("digest", "text", "first_doc", "first_own", "first_span"))
     behind = _start(F.col("span")) >= _start(F.col("first_span")) + _size(F.col("first_span"))
-    later = seen.join(first, ["digest", "text"]).where((F.col("doc_id") > F.col("first_doc")) | behind)
-    out = scratch.keep(later.select("doc_id", "span").distinct())
-    scratch.drop(marks, seen)
+    later = seen.join(first, ["digest", "text"]).where((F.col("doc_id") > F.col("first_doc")) | (F.col("own") != F.col("first_own")) | behind)
+    out = scratch.keep(later.select(*ROW, "span").distinct())
+    scratch.drop(marks, again, seen, first_doc, first)
     return out
 
 
 def _removed(docs: DataFrame, scratch: Scratch, kinds: tuple[str, ...]) -> DataFrame:
     """docs (doc_id, text, ...) with _gone, the ranges of lines to remove (null for none)."""
-    gone = repeated_spans(docs, scratch, kinds).groupBy("doc_id").agg(F.collect_list("span").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
+    docs = docs.withColumn("own", F.xxhash64("text"))
+    gone = repeated_spans(docs, scratch, kinds).groupBy(*ROW).agg(F.collect_list("span").alias("_gone"))
+    return docs.join(gone.hint("shuffle_hash"), ROW, "left").drop("own")
 
 
 def _left(lines: Column, gone: Column) -> Column:
@@ -185,8 +192,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     docs needs doc_id (long) and text (string). The first occurrence of a chunk, by doc_id and then place in the
     text, stays. Texts that are null stay null; a text of which all chunks go becomes empty; single lines that are no
-    passages and short chunks always stay. Rows that repeat a doc_id are cut alike: what goes from one goes from all. An empty table
-    gives no rows.
+    passages and chunks without words always stay. Rows that repeat a doc_id are told apart by their texts, those that
+    repeat both are cut alike; rows without a doc_id stay whole and do not count as an occurrence. An empty table gives no rows.
     """
     return _dedup(docs, scratch or Scratch(docs.sparkSession, "lines"), (CHUNKS,))
 

@@ -374,8 +374,9 @@ def shared_items(sets: list[np.ndarray], l: np.ndarray, r: np.ndarray) -> np.nda
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     out = np.zeros((len(l), len(r)), np.float32)
-    step = max(256, (1 << 21) // len(sets))
-    for lo in range(0, int((count > 1).sum()), step):
+    n_columns = int((count > 1).sum())
+    step = min(n_columns, max(256, (1 << 20) // len(sets)))
+    for lo in range(0, n_columns, max(1, step)):
         a, b = np.searchsorted(column, [lo, lo + step])
         holds = np.zeros((len(sets), step), np.float32)
         holds[owner[a:b], column[a:b] - lo] = 1
@@ -434,10 +435,10 @@ class _Search:
         mixed = rows.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return rows.join(self.scratch.keep(mixed.select("key", "rows", "shingles")), "key")
 
-    def in_buckets(self, members: DataFrame, comps: DataFrame, first: bool) -> DataFrame:
+    def in_buckets(self, members: DataFrame, comps: DataFrame) -> DataFrame:
         """(u, v) that join the components of members (key, node) that links within a bucket join.
 
-        A node leaves out its spare keys, those with the most rows first. If first, it only stands in the largest bucket left.
+        A node leaves out its spare keys, those with the most rows first.
         """
         scratch, percent = self.scratch, self.percent
         rows = scratch.keep(self.with_mixed(_label(members, "node", comps, "comp")).distinct())
@@ -446,8 +447,6 @@ class _Search:
         spare = sum((F.when(at == k, F.shiftright("spare", BAND_BITS + k * SPARE_BITS).bitwiseAND((1 << SPARE_BITS) - 1)).otherwise(0) for k in range(SPARE_BANDS)), F.lit(0))
         most = Window.partitionBy("node", "band").orderBy(F.desc("rows"), "key")
         left = rows.withColumn("band", band).withColumn("place", F.row_number().over(most)).where(F.col("place") > spare)
-        if first:
-            left = left.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("rows"), "key"))).where("place = 1")
         left = scratch.keep(left.select("key", "node", "comp"))
         cells = self.beside(self.with_mixed(left).select("key", "node", "comp", "rows", "shingles"), "node")
         cells = cells.withColumn("blocks", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
@@ -497,12 +496,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
     comps = merged(comps, scratch.keep(_check(rest, sets, percent)), scratch)
     scratch.drop(sets)
 
-    # Then the buckets that still hold more than one component: the largest of each node, which join most, then all.
+    # Then the buckets that still hold more than one component.
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("key"), F.col("b").alias("node"))
-    for first in (True, False):
-        joined = search.in_buckets(members, comps, first)
-        if not joined.isEmpty():
-            comps = merged(comps, joined, scratch)
+    joined = search.in_buckets(members, comps)
+    if not joined.isEmpty():
+        comps = merged(comps, joined, scratch)
 
     own = _label(classes.select("node", "rep", "copies"), "node", comps, "root")
     least = own.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")

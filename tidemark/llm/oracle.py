@@ -92,16 +92,22 @@ def _count(line: str, pattern: str) -> str:
 
 _GAP = r"[\x20\x09-\x0D]+"
 _N = f"len(string_split_regex(trim(x, ' '), '{_GAP}'))"
-_FAILS = f"""({_count('x', '[|»›]')} * 100 > {_N} * {q.BAR_PERCENT} OR {_count('x', q.SYMBOLS)} * 100 > length(x) * {q.SYMBOL_PERCENT}
-  OR ({_count('x', '!')} * 100 >= {_N} * {q.SHOUT_PERCENT} AND x = upper(x) AND lower(x) <> x) OR regexp_matches(lower(x), '{'|'.join(q.BOILERPLATE)}')
-  OR ({_N} >= 100 AND NOT regexp_matches(x, '[.!?…。！？,;:]')))"""
+_PHRASES = " OR ".join("contains(lower(x), '{}')".format(p.replace("'", "''")) for p in q.BOILERPLATE)
+_CODE = f"""CASE WHEN {_count('x', '[|»›]')} * 100 > {_N} * {q.BAR_PERCENT} OR {_count('x', q.SYMBOLS)} * 100 > length(x) * {q.SYMBOL_PERCENT}
+  OR ({_count('x', '!')} * 100 >= {_N} * {q.SHOUT_PERCENT} AND x = upper(x) AND lower(x) <> x) OR {_PHRASES}
+  OR ({_N} >= {q.UNPUNCTUATED_WORDS} AND NOT regexp_matches(x, '{q.CLAUSE_END}')) THEN 1
+  WHEN NOT regexp_matches(x, '{q.CLAUSE_END}') AND len(regexp_extract_all(x, '{WORD}')) BETWEEN 1 AND {q.LINK_WORDS} THEN 2 ELSE 0 END"""
+_LINKS = " OR ".join("(" + " AND ".join(f"coalesce(lag(code, {-k}) OVER w, 0) = 2" if k < 0 else f"coalesce(lead(code, {k}) OVER w, 0) = 2" for k in range(first, first + q.LINK_LINES) if k) + ")" for first in range(1 - q.LINK_LINES, 1))
 
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS ws FROM d),
 win AS (SELECT doc_id, i, ws[i:i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls, length(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT {_FAILS}), chr(10))) AS clean FROM d),
+x AS (SELECT doc_id, i, x, {_CODE} AS code FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+left_over AS (SELECT doc_id, CASE WHEN code = 0 OR (code = 2 AND NOT ({_LINKS})) THEN length(x) + 1 END AS size FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, coalesce(sum(size) - 1, 0) AS clean FROM left_over GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls, clean FROM d JOIN c USING (doc_id)),
 r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_GAP}', '', 'g')) AS BIGINT) AS word_chars, CAST({_count('t', q.SYMBOLS)} AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, clean * 100 >= length(t) * {q.KEPT_PERCENT} AS stays
       FROM w JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id))

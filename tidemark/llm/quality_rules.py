@@ -1,12 +1,16 @@
 """Line-first quality rules in column expressions.
 
-Every line is judged by punctuation, navigation and boilerplate rules; failing lines are removed, and a text that
-loses too large a part of its characters is rejected. The base rules on word counts and repetition reject as well.
-Everything is an array expression over one row, so nothing is exploded or shuffled.
+Every line is judged by itself: bars and symbols of navigation and markup, shouting, phrases of boilerplate in a list
+that is a parameter, and many words in which no clause ends. Rows of short lines in which no clause ends are
+navigation too. Failing lines are removed, and a text that loses too large a part of its characters is rejected. The
+base rules on word counts and repetition reject as well. Everything is an array expression over one row, so nothing is
+exploded or shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +24,34 @@ LEAST_WORDS, REPEATED_PERCENT = 50, 50
 #: A text is rejected if it keeps less than this percentage of its characters.
 KEPT_PERCENT = 70
 
-# Phrases that mark a line of boilerplate, looked for in lower case.
+# Phrases that mark a line of boilerplate, looked for in lower case; English, French, German, Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions",
     "lorem ipsum", "enable javascript", "use cookies", "click here", "sign up for our newsletter", "skip to content",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "conditions générales",
+    "utilise des cookies", "cliquez ici", "abonnez-vous", "aller au contenu", "activer javascript",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "verwendet cookies", "hier klicken",
+    "newsletter abonnieren", "zum inhalt springen", "javascript aktivieren", "allgemeine geschäftsbedingungen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos y condiciones", "aviso legal",
+    "utiliza cookies", "haga clic aquí", "suscríbete", "saltar al contenido", "habilite javascript",
 )
 #: A line with this share of symbols (percent of its characters), or of words next to bars, is navigation or markup.
 SYMBOL_PERCENT, BAR_PERCENT = 10, 20
 #: A line that shouts: so many exclamation marks (percent of its words) without a lower-case letter.
 SHOUT_PERCENT = 50
+#: A line of so many words without any mark that ends a clause is no prose.
+UNPUNCTUATED_WORDS = 40
+CLAUSE_END = r"[.!?…。！？,;:]"
+#: Navigation: so many lines in a row, each of at most so many words, in which no clause ends.
+LINK_LINES, LINK_WORDS = 3, 3
+LINK = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,%d}[\x20\x09-\x0D]*$" % (LINK_WORDS - 1)
+#: A character without which no rule on marks can fail a line.
+ANY_MARK = r"[|»›#*$%&<>!]"
+
+#: Bits of a window's place in the numbers by which windows that may repeat are found.
+PLACE_BITS = 31
+
+_STAYS, _FAILS, _LINK = 0, 1, 2
 
 
 def words_of(text: Column) -> Column:
@@ -39,84 +62,104 @@ def _count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is navigation, markup, shouting or boilerplate, or is long without a single end of a clause."""
+def _marked(line: Column) -> Column:
+    """Whether a line is navigation between bars, markup, or shouting."""
     size, n_words = F.length(line), F.size(F.split(F.trim(line), WORD_GAP))
-    bars, marks = _count_of(line, r"[|»›]"), _count_of(line, "!")
-    low = F.lower(line)
-    phrase = low.rlike("|".join(BOILERPLATE))
-    return (
-        (bars * 100 > n_words * BAR_PERCENT)
+    return line.rlike(ANY_MARK) & (
+        (_count_of(line, r"[|»›]") * 100 > n_words * BAR_PERCENT)
         | (_count_of(line, SYMBOLS) * 100 > size * SYMBOL_PERCENT)
-        | ((marks * 100 >= n_words * SHOUT_PERCENT) & (line == F.upper(line)) & (low != line))
-        | phrase
-        | ((n_words >= 100) & ~line.rlike(r"[.!?…。！？,;:]"))
+        | ((_count_of(line, "!") * 100 >= n_words * SHOUT_PERCENT) & (line == F.upper(line)) & (F.lower(line) != line))
     )
 
 
-def _windows(words: Column) -> Column:
-    """A 64-bit hash of each 3-word window."""
-    return F.when(
-        F.size(words) >= 3,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def _any_of(low: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (low.contains(x) for x in phrases), F.lit(False))
 
 
-#: Bits of a window's place in its sort key, for texts of fewer words than 2 ** SHORT_BITS and for longer ones.
-SHORT_BITS, LONG_BITS = 20, 31
+def line_codes(lines: Column, has_mark: Column, has_phrase: Column, phrases: tuple[str, ...]) -> Column:
+    """For each line whether it stays, fails by itself, or fails in a row of links.
 
+    has_mark and has_phrase say whether any line can fail by the marks and by the phrases at all.
+    """
+    def code(line: Column) -> Column:
+        fails = (
+            (has_mark & _marked(line))
+            | (has_phrase & _any_of(F.lower(line), phrases))
+            | (~line.rlike(CLAUSE_END) & (F.length(line) >= 2 * UNPUNCTUATED_WORDS - 1) & (F.size(F.split(F.trim(line), WORD_GAP)) >= UNPUNCTUATED_WORDS))
+        )
+        return F.when(fails, _FAILS).when(~line.rlike(CLAUSE_END) & line.rlike(LINK), _LINK).otherwise(_STAYS)
 
-def _equal_windows(a: Column, b: Column, words: Column, bits: int) -> Column:
-    """Whether two sort keys have equal upper bits and stand for equal words; null where b is no key."""
-    p, q = (k.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") for k in (a, b))
-    equal = F.shiftright(a, bits) == F.shiftright(b, bits)
-    for j in range(3):
-        equal = equal & (F.get(words, p + j) == F.get(words, q + j))
-    return equal
-
+    return F.transform(lines, code)
 
-def _repeated_places(keys: Column, words: Column, bits: int) -> Column:
-    """Places, in order, of the windows that are found again, from sorted keys of hash bits and place."""
-    again = F.filter(
-        keys,
-        lambda k, i: F.coalesce(_equal_windows(k, F.get(keys, i + 1), words, bits), F.lit(False)) | F.coalesce(_equal_windows(k, F.get(keys, i - 1), words, bits), F.lit(False)),
-    )
-    return F.sort_array(F.transform(again, lambda k: k.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")))
 
+def _in_row(codes: Column, i: Column) -> Column:
+    """Whether place i lies in a row of LINK_LINES links or more."""
+    def link(j: Column) -> Column:
+        return F.coalesce(F.get(codes, j) == _LINK, F.lit(False))
 
-def _by_length(n_words: Column, make) -> Column:
-    return F.when(n_words < (1 << SHORT_BITS), make(SHORT_BITS)).otherwise(make(LONG_BITS))
+    rows = (reduce(lambda a, b: a & b, (link(i - back + k) for k in range(LINK_LINES))) for back in range(LINK_LINES))
+    return reduce(lambda a, b: a | b, rows)
 
 
 def quality_signals(docs: DataFrame) -> DataFrame:
     """docs (text string) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    Windows are sorted by the upper bits of their hash, then their place; neighbours with equal bits and equal words
-    repeat, and each of their places covers 3 words.
+    A text whose windows all have different hashes repeats none. Else windows that share some bits of their hashes
+    with others are sorted by hash, words and place, so that equal ones are neighbours in texts of any length, and each
+    of their places covers 3 words.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words, keys, places = F.col("_words"), F.col("_keys"), F.col("_places")
-    step = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_windows", _windows(words))
-    step = step.withColumn("_keys", _by_length(F.size(words), lambda b: F.sort_array(F.transform("_windows", lambda h, i: F.shiftleft(h, b).bitwiseOR(i.cast("long"))))))
-    step = step.withColumn("_places", _by_length(F.size(words), lambda b: _repeated_places(keys, words, b)))
+    words, hashes, keys, places = (F.col(c) for c in ("_words", "_hashes", "_keys", "_places"))
+    step = docs.withColumn("_words", words_of(F.col("text")))
+    step = fence(step).withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+
+    def hash_at(h: Column, i: Column) -> Column:
+        return F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))
+
+    step = fence(step).withColumn("_windows", F.slice(F.transform(hashes, hash_at), F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))))
+    step = fence(step)
+    packed = F.sort_array(F.transform("_windows", lambda h, i: F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long"))))
+    step = step.withColumn("_packed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), packed))
+
+    def near(k: Column, i: Column) -> Column:
+        other = F.shiftright(F.get(F.col("_packed"), i), PLACE_BITS)
+        return F.coalesce(F.shiftright(k, PLACE_BITS) == other, F.lit(False))
+
+    may = F.filter("_packed", lambda k, i: near(k, i + 1) | near(k, i - 1))
+    step = fence(step).withColumn("_may", F.transform(may, lambda k: k.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")))
+    keyed = F.transform("_may", lambda p: F.struct(F.get(F.col("_windows"), p).alias("h"), F.get(words, p).alias("a"), F.get(words, p + 1).alias("b"), F.get(words, p + 2).alias("c"), p.alias("i")))
+    step = fence(step).withColumn("_keys", F.sort_array(keyed))
+
+    def equal(k: Column, other: Column) -> Column:
+        same = (k["h"] == other["h"]) & (k["a"] == other["a"]) & (k["b"] == other["b"]) & (k["c"] == other["c"])
+        return F.coalesce(same, F.lit(False))
+
+    again = F.filter(keys, lambda k, i: equal(k, F.get(keys, i + 1)) | equal(k, F.get(keys, i - 1)))
+    step = fence(step).withColumn("_places", F.sort_array(F.transform(again, lambda k: k["i"])))
     covers = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
-    step = step.select(
+    step = fence(step).select(
         *docs.columns,
         F.size(words).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, WORD_GAP, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.aggregate(covers, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
+        F.coalesce(F.aggregate(covers, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     return fence(step).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED_PERCENT))
 
 
-def clean_lines(docs: DataFrame) -> DataFrame:
+def clean_lines(docs: DataFrame, phrases: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """docs with clean_text, the lines of text that no rule removes, and loses_too_much."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("clean_text", F.array_join(F.filter(F.split(text, "\n"), lambda x: ~line_fails(x)), "\n"))
-    return fence(out).withColumn("loses_too_much", F.length("clean_text") * 100 < F.length(text) * KEPT_PERCENT)
+    text, lines, codes = F.coalesce(F.col("text"), F.lit("")), F.col("_lines"), F.col("_codes")
+    out = docs.withColumn("_mark", text.rlike(ANY_MARK)).withColumn("_low", F.lower(text)).withColumn("_lines", F.split(text, "\n"))
+    out = fence(out).withColumn("_phrase", _any_of(F.col("_low"), phrases))
+    out = fence(out).withColumn("_codes", line_codes(lines, F.col("_mark"), F.col("_phrase"), phrases))
+    out = fence(out)
+    left = F.filter(lines, lambda x, i: (F.get(codes, i) == _STAYS) | (F.get(codes, i) == _LINK) & ~_in_row(codes, i))
+    out = out.withColumn("clean_text", F.when(F.exists(codes, lambda c: c != _STAYS), F.array_join(left, "\n")).otherwise(text))
+    out = fence(out.drop("_mark", "_low", "_lines", "_phrase", "_codes"))
+    return out.withColumn("loses_too_much", F.length("clean_text") * 100 < F.length(text) * KEPT_PERCENT)
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
