@@ -169,18 +169,35 @@ def test_near_vectors(spark):
         assert len(members) == 1 or all(sim[a][[b for b in members if b != a]].any() for a in members)
 
 
-def test_near_vectors_recall_on_the_table(spark):
-    """The table's vectors are far apart, so copies at cosines of about 0.9 to 1 are put beside them."""
+@pytest.mark.parametrize("size", [1500, 10_000, 40_000])
+def test_near_vectors_recall_by_band(spark, size):
+    """The table's vectors (with random ones beyond it) are far apart; 900 have a copy at a cosine of each band."""
     rng = np.random.default_rng(11)
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
-    for k in range(1000):
-        v = np.array(rows[k % 700][1])
-        noise = rng.normal(size=len(v))
-        cosine = rng.uniform(0.9, 1.0)
-        rows.append((100_000 + k, (v / np.linalg.norm(v) * cosine + noise / np.linalg.norm(noise) * np.sqrt(1 - cosine**2)).tolist()))
-    ids, sim = plain_links(rows)
-    got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert sim.sum() >= 1000 and 0.9 * sim.sum() <= sum(got[i] for i in ids) <= sim.sum()
+    base = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()])[:size]
+    base = np.concatenate([base, rng.normal(size=(size - len(base), base.shape[1]))])
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    bands, copies = [(0.9001, 0.91), (0.91, 0.93), (0.93, 0.999)], []
+    for k in range(900):
+        noise = rng.normal(size=base.shape[1])
+        noise -= noise @ base[k] * base[k]
+        cosine = rng.uniform(*bands[k % 3])
+        copies.append(base[k] * cosine + noise / np.linalg.norm(noise) * np.sqrt(1 - cosine**2))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, copies]))]
+    got = {r["vec_id"]: r for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for b in range(3):
+        found = [got[size + k]["n_links"] == 1 and got[size + k]["component_id"] == k for k in range(b, 900, 3)]
+        assert sum(found) >= 0.9 * len(found), (bands[b], sum(found) / len(found))
+    assert all(got[i]["n_links"] == 0 for i in range(900, size))
+
+
+def test_equal_and_near_vectors_of_a_large_list(spark):
+    """300 unequal near vectors, more than a block, all link with each other, and copies count."""
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=16)
+    rows = [(k, (center + rng.normal(size=16) * 1e-3).tolist()) for k in range(300)] + [(300 + k, (rng.normal(size=16)).tolist()) for k in range(40)]
+    rows += [(1000 + k, rows[k][1]) for k in range(5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), n_pivots=12).collect()}
+    assert all(got[k] == (304, 0) for k in [*range(300), *range(1000, 1005)])
 
 
 def test_near_vectors_of_an_empty_table(spark):
@@ -192,4 +209,7 @@ def test_near_vectors_of_an_empty_table(spark):
 def test_near_vectors_of_several_lengths(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [0.0, 1.0]), (6, [0.0, 1.0])]
     got = sorted(tuple(r) for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
-    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 1, 6, True), (6, 1, 6, True)]
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 1, 6, True), (6, 1, 6, True)]
+    rows = [(None, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [0.01, 1.0])]
+    got = {(r["vec_id"], r["embedding"][0]): r[1:4] for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id").collect()}
+    assert got[(2, 1.0)] == (1, 2, True) and got[(4, 0.01)] == (0, 4, True)

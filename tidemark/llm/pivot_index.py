@@ -15,17 +15,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.cells import by_cell, roots
 from tidemark.llm.components import components
 from tidemark.llm.scratch import Scratch
 
-#: The index is fitted on at most so many distinct vectors, those with the smallest hash of their content.
+#: The index is fitted on at most so many distinct vectors of each length, those with the smallest hash of their content.
 SAMPLE = 4096
-PIVOTS, PREFIX, SHARED = 256, 6, 3
-#: Vectors in a block of a list; a cell compares two blocks at most.
+PREFIX, SHARED = 8, 3
+#: Pivots: this many times the cube root of the number of vectors, so that a list of three grows slowly, up to a bound
+#: beyond which recall would fall below 0.9 at the threshold.
+PIVOT_RATE, MOST_PIVOTS = 17, 768
+#: Vectors in a block of a list; a cell compares two blocks at most. Fewer vectors of a length are all one list.
 BLOCK = 256
+#: Pairs of cells of at most so many vectors are compared for many cells at once.
+SMALL = 16
+#: Bits of a list's key that hold its pivots; those above hold the length.
+KEY_BITS = 40
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -35,7 +44,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+def pivots_for(n: int) -> int:
+    """How many pivots n vectors of one length get."""
+    return 1 if n <= BLOCK else max(SHARED, min(MOST_PIVOTS, round(PIVOT_RATE * n ** (1 / 3))))
+
+
+def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first choice by cosine: each pivot is the vector least similar to those before it; ties by order."""
     if not len(sample):
         return np.zeros((0, 0))
@@ -51,8 +65,9 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """Indices of each row's nearest pivots, nearest first, ties by index."""
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix]
+    """Indices of each row's nearest pivots, in order of index."""
+    far = -(unit @ pivots.T)
+    return np.sort(np.argpartition(far, prefix - 1, axis=1)[:, :prefix] if prefix < len(pivots) else np.argsort(far, axis=1), 1).astype(np.int64)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -60,19 +75,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _index(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, shared: int) -> Iterator[pa.RecordBatch]:
+def _by_length(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, pa.Table | pa.RecordBatch]]:
+    lengths = pc.list_value_length(rows.column("embedding"))
+    for n in pc.unique(lengths).to_pylist():
+        yield n, rows.filter(pc.equal(lengths, n))
+
+
+def _index(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], prefix: int, shared: int) -> Iterator[pa.RecordBatch]:
     """A row (key, rep) for each set of shared pivots among a vector's nearest."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        near = np.sort(nearest_pivots(_unit(_matrix(batch.column("embedding"))), pivots), 1).astype(np.int64)
-        take = list(combinations(range(near.shape[1]), min(shared, near.shape[1])))
-        keys = np.zeros((len(near), len(take)), np.int64)
-        for k, places in enumerate(take):
-            for p in places:
-                keys[:, k] = keys[:, k] * (len(pivots) + 1) + near[:, p] + 1
-        rep = batch.column("rep").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rep, len(take)))], ["key", "rep"])
+        for length, rows in _by_length(batch):
+            own = pivots[length]
+            near = nearest_pivots(_unit(_matrix(rows.column("embedding"))), own, prefix)
+            take = list(combinations(range(near.shape[1]), min(shared, near.shape[1])))
+            keys = np.zeros((len(near), len(take)), np.int64)
+            for k, places in enumerate(take):
+                for p in places:
+                    keys[:, k] = keys[:, k] * (len(own) + 1) + near[:, p] + 1
+            rep = rows.column("rep").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel() + (length << KEY_BITS)), pa.array(np.repeat(rep, len(take)))], ["key", "rep"])
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray, base: int, shared: int) -> np.ndarray:
@@ -85,84 +106,81 @@ def _first_shared(a: np.ndarray, b: np.ndarray, base: int, shared: int) -> np.nd
     return key
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest index of each index's component under pairs (x, y)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _compare(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, shared: int, least: float) -> Iterator[pa.RecordBatch]:
-    """(rep, links, root): for each cell of rows sorted by cell, the weight of new links of a vector and its component."""
-    names = ["rep", "links", "root"]
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        cell, key, rep, weight, right = (rows.column(c).to_numpy() for c in ("cell_id", "key", "rep", "weight", "right"))
-        unit = _unit(np.concatenate([_matrix(c) for c in rows.column("embedding").chunks]))
-        near = np.sort(nearest_pivots(unit, pivots), 1)
-        cuts = np.flatnonzero(np.diff(cell)) + 1
-        out = [[], [], []]
-        for i, j in zip([0, *cuts], [*cuts, len(cell)], strict=True):
-            l, r = (np.flatnonzero(right[i:j] != side) + i for side in (2, 1))  # noqa: E741
-            x, y = np.nonzero(unit[l] @ unit[r].T >= least - 1e-9)
-            x, y = l[x], r[y]
-            keep = rep[x] < rep[y] if (right[i:j] == 0).all() else rep[x] != rep[y]
-            x, y = x[keep], y[keep]
-            exact = (unit[x] * unit[y]).sum(1) >= least
-            x, y = x[exact], y[exact]
-            if not len(x):
-                continue
-            new = _first_shared(near[x], near[y], len(pivots), shared) == key[x]
-            links = np.zeros(j - i, np.int64)
-            np.add.at(links, x[new] - i, weight[y[new]])
-            np.add.at(links, y[new] - i, weight[x[new]])
-            root = rep[i:j].copy()
-            order = np.argsort(root, kind="stable")
-            place = np.empty_like(order)
-            place[order] = np.arange(j - i)
-            root[order] = root[order][_roots(j - i, place[x - i], place[y - i])]
-            seen = np.flatnonzero((links > 0) | (root != rep[i:j]))
-            for c, v in zip(out, (rep[i:j][seen], links[seen], root[seen]), strict=True):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in out], names)
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if batch.column("cell_id")[0].as_py() == batch.column("cell_id")[-1].as_py():
+def _pairs(unit: np.ndarray, cell: np.ndarray, cuts: list[tuple[int, int]], right: np.ndarray, rep: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Row numbers (x, y) of the pairs of a cell whose cosine is least or more, and whether they are of one large cell."""
+    size = np.array([j - i for i, j in cuts])
+    small = np.repeat(size <= SMALL, size) & (right == 0)
+    for k in range(1, SMALL):
+        at = np.flatnonzero(small[:-k] & (cell[k:] == cell[:-k]))
+        for lo in range(0, len(at), 1 << 16):
+            x = at[lo : lo + (1 << 16)]
+            x = x[(unit[x] * unit[x + k]).sum(1) >= least]
+            yield x, x + k, False
+    for i, j in cuts:
+        if j - i <= SMALL and right[i] == 0:
             continue
-        rows = pa.Table.from_batches(held)
-        cells = rows.column("cell_id").to_numpy()
-        cut = int(np.argmax(cells == cells[-1]))
-        yield done(rows.slice(0, cut))
-        held = rows.slice(cut).to_batches()
-    if held:
-        yield done(pa.Table.from_batches(held))
+        l, r = (np.flatnonzero(right[i:j] != side) + i for side in (2, 1))  # noqa: E741
+        x, y = np.nonzero(unit[l] @ unit[r].T >= least - 1e-9)
+        x, y = l[x], r[y]
+        keep = rep[x] < rep[y] if (right[i:j] == 0).all() else rep[x] != rep[y]
+        x, y = x[keep], y[keep]
+        exact = (unit[x] * unit[y]).sum(1) >= least
+        yield x[exact], y[exact], True
 
 
-def fit_pivots(vectors: DataFrame, n: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Pivots from a bounded sample of the distinct vectors of vectors (embedding array)."""
-    rows = vectors.orderBy(F.xxhash64("embedding"), "rep").limit(sample).select("embedding").toPandas()  # vectors of one length
-    return choose_pivots(np.array(rows["embedding"].tolist(), np.float64), n)
+def _compare(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], prefix: int, shared: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(rep, links, root) of rows sorted by cell: the weight of new links of a vector, and one that it is linked with.
 
-
-def near_vectors(table: DataFrame, least: float = 0.9, n_pivots: int = PIVOTS, scratch: Scratch | None = None) -> DataFrame:
+    A large cell gives a row a vector at most, with the smallest vector of its component; a small one a few a pair.
+    """
+    for table, _ in by_cell(batches):
+        for length, rows in _by_length(table):
+            cell, key, rep, weight, right = (rows.column(c).to_numpy() for c in ("cell_id", "key", "rep", "weight", "right"))
+            edge = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            cuts = list(zip(edge[:-1], edge[1:], strict=True))
+            own = pivots[length]
+            unit = _unit(np.concatenate([_matrix(c) for c in rows.column("embedding").chunks if len(c)]))
+            out = [[], [], []]
+            for x, y, large in _pairs(unit, cell, cuts, right, rep, least):
+                if not len(x):
+                    continue
+                ends, inverse = np.unique(np.concatenate([x, y]), return_inverse=True)
+                near = nearest_pivots(unit[ends], own, prefix)
+                new = _first_shared(near[inverse[: len(x)]], near[inverse[len(x) :]], len(own), min(shared, near.shape[1])) + (length << KEY_BITS) == key[x]
+                links = np.bincount(inverse, np.concatenate([weight[y] * new, weight[x] * new]), len(ends)).astype(np.int64)
+                if large:
+                    order = np.argsort(rep[ends], kind="stable")
+                    place = np.empty_like(order)
+                    place[order] = np.arange(len(ends))
+                    root = np.empty(len(ends), np.int64)
+                    root[order] = rep[ends][order][roots(len(ends), place[inverse[: len(x)]], place[inverse[len(x) :]])]
+                    found = (rep[ends], links, root)
+                else:
+                    low = np.minimum(rep[x], rep[y])
+                    found = (np.concatenate([rep[x], rep[y]]), np.concatenate([weight[y] * new, weight[x] * new]).astype(np.int64), np.concatenate([low, low]))
+                for c, v in zip(out, found, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in out], ["rep", "links", "root"])
+
+
+def fit_pivots(vectors: DataFrame, n_pivots: int | None = None, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Pivots for each length of the distinct vectors (rep, embedding), from a bounded sample of each."""
+    sized = vectors.select("rep", "embedding", F.size("embedding").alias("length"))
+    counts = {r["length"]: r["n"] for r in sized.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a number a length
+    order = Window.partitionBy("length").orderBy(F.xxhash64("embedding"), "rep")
+    rows = sized.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).orderBy("length", "place").select("length", "embedding").toPandas()
+    return {n: choose_pivots(np.array(own["embedding"].tolist(), np.float64), n_pivots or pivots_for(counts[n])) for n, own in rows.groupby("length")}
+
+
+def near_vectors(table: DataFrame, least: float = 0.9, n_pivots: int | None = None, prefix: int = PREFIX, shared: int = SHARED, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of table (vec_id long, embedding array of float or double).
 
     Pairs that the index retrieves link if their cosine is least or more; n_links counts the other rows that a row links
-    with, component_id is the smallest vec_id reachable, kept says that it is the row's own. With more pivots lists are
-    shorter and recall is lower. Vectors that are null, empty
-    or zero, hold a null or non-finite component, or differ in length from the most common one (of lengths as common, the
-    smallest) link with none but equal rows. Equal rows link with each other. Other columns are ignored, an empty table gives no rows.
+    with, component_id is the smallest vec_id reachable, kept says that it is the row's own. With more pivots (by default
+    pivots_for the vectors of a length) lists are shorter and recall is lower, with a longer prefix it is higher. Vectors of
+    different lengths never link; those that are null, empty or zero, or hold a null or non-finite component, link with none.
+    Equal rows link with each other. Rows without a vec_id have the links of the rows equal to them, if any has one, and are
+    not kept; rows that repeat a vec_id stay and share their links. Other columns are ignored, an empty table gives no rows.
     """
     spark = table.sparkSession
     scratch = scratch or Scratch(spark, "pivots")
@@ -170,25 +188,23 @@ def near_vectors(table: DataFrame, least: float = 0.9, n_pivots: int = PIVOTS, s
     good = F.coalesce(~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
     classes = rows.where(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = scratch.keep(classes)
-    length = classes.groupBy(F.size("embedding").alias("length")).agg(F.sum("weight").alias("rows")).orderBy(F.desc("rows"), "length").first()
-    usable = classes.where(F.size("embedding") == (length["length"] if length else 0))
+    usable = classes.where("rep IS NOT NULL")
     pivots = fit_pivots(usable, n_pivots)
-    if not pivots.size:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = min(SHARED, len(pivots))
-    index = scratch.keep(usable.select("rep", "embedding").mapInArrow(lambda it: _index(it, pivots, shared), "key long, rep long"))
+    if any((len(p) + 1) ** shared >= 1 << KEY_BITS for p in pivots.values()):
+        raise ValueError("so many pivots do not fit a key")
+    index = scratch.keep(usable.select("rep", "embedding").mapInArrow(lambda it: _index(it, pivots, prefix, shared), "key long, rep long"))
     lists = index.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
     cells = index.join(lists, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     cells = cells.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell_id"), "key", "rep", side.alias("right"))
     cells = cells.join(usable, "rep").select("cell_id", "key", "rep", "weight", "right", "embedding").repartition("cell_id").sortWithinPartitions("cell_id")
-    found = scratch.keep(cells.mapInArrow(lambda it: _compare(it, pivots, shared, least), "rep long, links long, root long"))
+    found = scratch.keep(cells.mapInArrow(lambda it: _compare(it, pivots, prefix, shared, least), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch)
     classes = classes.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.where("rep IS NOT NULL").select("embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.withColumn("_good", good).join(classes, "embedding", "left")
     linked = F.col("_good") & F.col("component_id").isNotNull()
     component = F.when(linked, F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
