@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from tidemark.llm.scratch import Scratch
 
 URLS = [
     None, "", "no scheme.org/x", "http://", "HTTP://Example.ORG", "http://example.org/es/a?b", "http://a.example.org/en/12#x", "http://notexample.org/es/a", "https://WWW.Shop.com/fr/x",
-    "https://shop.com/de", "https://shop.com/de/?q=/fr/", "ftp://a.net/com/fr/", "http://com/de/1", "x://y://z.org/a", "http://é.org/ü?x", "http://host.org?x=/a", "http://a.org:80/x",
+    "https://shop.com/de", "https://shop.com/de/?q=/fr/", "ftp://a.net/com/fr/", "http://com/de/1", "x://y://z.org/a", "http://é.org/ü?x", "http://host.org?x=/a", "http://a.org:80/x", "http://u:p@a.net:81/", "http://10.0.0.1/x", "http://10.0.0.2:8080/x", "http://[::1]/x", "http://b.co.uk/",
 ]
 
 
@@ -38,16 +39,25 @@ def plain_rule(host, path):
 
 def plain_blocked(rows, bad):
     """Hosts blocked by the posterior bound, by the formulas of the module's docstring."""
+    def name_of(k, host):
+        if re.fullmatch(url_filter.IP_ADDRESS, host):
+            return (host, host, "")[k]
+        labels = host.split(".")
+        n = 2 if ".".join(labels[-2:]) in url_filter.LONG_SUFFIXES else 1
+        return (host, ".".join(labels[-n - 1 :]), ".".join(labels[-n:]))[k]
+
+    rows = [(page, re.sub(":[0-9]*$", "", re.sub("^.*@", "", host))) for page, host in rows]
+    over = {1: {}, 0: {}}
     level = {2: collections.defaultdict(lambda: [0, 0]), 1: collections.defaultdict(lambda: [0, 0]), 0: collections.defaultdict(lambda: [0, 0])}
     for page, host in rows:
-        domain = ".".join(host.split(".")[-2:])
-        for k, name in ((0, host), (1, domain), (2, domain.split(".")[-1])):
+        over[0][host], over[1][name_of(1, host)] = name_of(1, host), name_of(2, host)
+        for k, name in ((k, name_of(k, host)) for k in range(3)):
             level[k][name][0] += page in bad
             level[k][name][1] += bad.get(page, 0)
     total = [sum(v[i] for v in level[2].values()) for i in (0, 1)]
     above = collections.defaultdict(lambda: (total[1] + url_filter.START_BAD) / (total[0] + url_filter.START_PAGES))
     for k in (2, 1, 0):
-        prior = {name: above[{2: "", 1: name.split(".")[-1], 0: ".".join(name.split(".")[-2:])}[k] if k < 2 else name] for name in level[k]}
+        prior = {name: above[over[k][name] if k < 2 else name] for name in level[k]}
         seen = one = square = 0.0
         for name, (n, b) in level[k].items():
             p = min(max(prior[name], 1e-6), 1 - 1e-6)
@@ -61,18 +71,19 @@ def plain_blocked(rows, bad):
 
 def test_url_filter(spark):
     rng = random.Random(2)
-    hosts = [f"h{i}.d{i % 7}.{('net', 'xyz')[i % 2]}" for i in range(30)]
-    rows = [(i, u) for i, u in enumerate(URLS)] + [(100 + i, f"http://{rng.choice(hosts[: 1 + i % 30])}/p{i}") for i in range(900)]
+    hosts = [f"h{i}.d{i % 7}.{('net', 'xyz', 'co.uk')[i % 3]}{('', ':80')[i % 4 == 1]}" for i in range(30)]
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(None, "http://h1.d1.xyz/none")] + [(100 + i, f"http://{rng.choice(hosts[: 1 + i % 30])}/p{i}") for i in range(900)]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS bad", "'x' AS n")
-    outcomes = [(i, int(rng.random() < (0.9 if u and ".xyz" in u else 0.1))) for i, u in rows if i % 3]
+    outcomes = [(i or 0, int(rng.random() < (0.9 if u and ".xyz" in u else 0.1))) for i, u in rows if i and i % 3]
     got = {r["page_id"]: r for r in url_filter.filter_urls(pages, spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
     blocked = plain_blocked([(i, plain_parts(u)[0]) for i, u in rows], dict(outcomes))
+    hosts_of = lambda u: re.sub(":[0-9]*$", "", re.sub("^.*@", "", plain_parts(u)[0]))
     assert blocked and len(got) == len(rows)
     for i, u in rows:
         host, path = plain_parts(u)
         rule = plain_rule(host, path)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule and rule[1]), u
-        assert got[i]["verdict"] == (rule[0] if rule else "block" if host in blocked else "allow"), u
+        assert got[i]["verdict"] == (rule[0] if rule else "block" if hosts_of(u) in blocked else "allow"), u
     none = spark.createDataFrame([], "page_id long, bad int")
     assert url_filter.filter_urls(pages, none).where("rule IS NULL AND verdict = 'block'").count() == 0
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0

@@ -23,8 +23,6 @@ from tidemark.llm.tokens import encoder
 
 #: Tokens of rests in a shard, about: some 1,000 rests of half a window.
 SHARD_TOKENS = 1 << 20
-#: Terms of a seed that are looked up, those that weigh most.
-QUERY_TERMS = 12
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
 
@@ -92,14 +90,13 @@ class _Shard:
         self.n = len(rests)
 
     def neighbours(self, seed: int, left: np.ndarray) -> np.ndarray:
-        """Unused documents by falling score, those that share no looked-up term after them in order."""
+        """Unused documents by falling score over all terms of the seed, those that share none after them in order."""
         a, b = self.spans[seed]
-        best = np.argsort(-self.weights[a:b], kind="stable")[:QUERY_TERMS]
-        q = self.terms[a:b][best]
+        q = self.terms[a:b]
         lo, hi = np.searchsorted(self.by_term, q, "left"), np.searchsorted(self.by_term, q, "right")
-        score = np.zeros(self.n, np.float32)
-        for i, j in zip(lo, hi, strict=True):
-            score[self.docs[i:j]] += self.scores[i:j]
+        run = hi - lo
+        at = np.repeat(hi - np.cumsum(run), run) + np.arange(run.sum())
+        score = np.bincount(self.docs[at], self.scores[at], self.n)
         open_ = np.flatnonzero(left > 0)
         return open_[np.argsort(-score[open_], kind="stable")]
 

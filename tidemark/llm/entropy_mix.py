@@ -8,8 +8,8 @@ Rates: of all rates between 0 and `most` that meet a source's target, those clos
 of every document are min(most, exp(lam * size / mean size)), with one multiplier a source, the dual variable of its
 token constraint. Newton steps on that convex dual run for all sources at once over counts of documents by
 (source, size), each kept inside a shrinking bracket. Rates are then rounded to whole copies: within a source the
-running sum of rates, largest documents first, is rounded, and roundings are flipped one by one until what is left
-of the target is less than any flip mends. Sums are exact integers, so reruns agree.
+running sum of rates, largest documents first, is rounded, and roundings of equal documents are flipped until what is
+left of the target is at most half of any document that could still be flipped. Sums are exact integers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from tidemark.llm.scratch import Scratch
 
 # The weights in turn, the share of all words, and the most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Newton rounds end when every source is this close to its target, as a part of it, or after so many rounds.
-TOLERANCE, ROUNDS = 1e-6, 60
-#: Rounds in which each source may flip one rounding.
-FLIPS = 6
+#: Newton rounds end when every source is this close to its target, as a part of it (and two units of a sum).
+TOLERANCE = 1e-6
+#: Every so many rounds the bracket is halved, so that it closes whatever Newton's steps do, long before so many rounds.
+HALVED, ROUNDS = 3, 300
 #: Documents of equal size in a source are ranked in buckets of about so many.
 BUCKET_DOCS = 4096
 #: Words are summed in units of 1 / UNIT.
@@ -84,7 +84,7 @@ def tilts(counts: DataFrame, targets: DataFrame, scratch: Scratch, most: int = M
     closed = F.when(F.col("target") >= F.col("source_size") * most, top).when(F.col("target") <= 0, bottom)
     state = targets.select("key", "target", scale.alias("scale"), F.coalesce(closed, F.lit(0.0)).alias("lam"), bottom.alias("lo"), top.alias("hi"), closed.isNotNull().alias("done"))
     state = scratch.keep(state)
-    for _ in range(ROUNDS):
+    for n_round in range(ROUNDS):
         with_state = counts.where("size > 0").join(state.where("NOT done").select("key", "scale", "lam"), "key")
         words, c = F.col("n") * F.col("size"), F.col("size") / F.col("scale")
         rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), most)
@@ -93,14 +93,15 @@ def tilts(counts: DataFrame, targets: DataFrame, scratch: Scratch, most: int = M
         off = F.col("got") - F.col("target")
         lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.col("lam") - F.try_divide(off, F.col("slope"))
-        step = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
-        ended = F.col("done") | F.col("got").isNull() | (F.abs(off) <= F.col("target") * TOLERANCE)
+        newton = F.lit(n_round % HALVED != HALVED - 1)
+        step = F.when(newton & (step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
+        ended = F.col("done") | F.col("got").isNull() | (F.abs(off) <= F.col("target") * TOLERANCE + 2 / UNIT)
         new = scratch.keep(both.select("key", "target", "scale", F.when(ended, F.col("lam")).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), ended.alias("done")))
         scratch.drop(state)
         state = new
         if state.where("NOT done").isEmpty():
-            break
-    return state.select("key", "scale", "lam")
+            return state.select("key", "scale", "lam")
+    raise RuntimeError("a source does not come to its target")
 
 
 def _groups(sized: DataFrame, counts: DataFrame) -> DataFrame:
@@ -117,19 +118,21 @@ def rounded(groups: DataFrame, targets: DataFrame, scratch: Scratch, most: int =
     low, high = F.col("n") * F.floor("rate"), F.col("n") * F.ceil("rate")
     start = F.floor(upto - F.col("n") * F.col("rate") + 0.5)
     held = scratch.keep(groups.withColumn("copies", F.least(high, F.greatest(low, F.floor(upto + 0.5) - start))))
-    for _ in range(FLIPS):
+    while True:
         got = held.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
         both = held.join(got.join(targets, "key").select("key", F.round(F.col("target") - F.col("got")).cast("long").alias("off")), "key")
-        can = F.when(F.col("off") > 0, F.col("copies") < high).otherwise(F.col("copies") > low)
-        picks = both.where((F.col("size") > 0) & (F.col("size") < 2 * F.abs("off")) & can).groupBy("key").agg(
-            F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("gap"), "size", "bucket", F.signum("off").cast("long").alias("flip"))).alias("p")
-        )
-        picks = picks.select("key", "p.size", "p.bucket", "p.flip")
+        # As many of a group's roundings as mend most of what is left; any at all make it less.
+        can = F.when(F.col("off") > 0, high - F.col("copies")).otherwise(F.col("copies") - low)
+        many = F.least(can, F.floor(F.abs("off") / F.col("size") + 0.5 - 1e-9)).cast("long")
+        both = both.where("size > 0").withColumn("many", many).where("many > 0")
+        picks = both.groupBy("key").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("many") * F.col("size")).alias("gap"), "size", "bucket", (F.signum("off") * F.col("many")).cast("long").alias("flip"))).alias("p"))
+        picks = scratch.keep(picks.select("key", "p.size", "p.bucket", "p.flip"))
+        if picks.isEmpty():
+            return held
         new = held.join(picks, list(GROUP), "left").select(*GROUP, "n", "rate", (F.col("copies") + F.coalesce("flip", F.lit(0))).alias("copies"))
         new = scratch.keep(new)
-        scratch.drop(held)
+        scratch.drop(held, picks)
         held = new
-    return held
 
 
 def mix_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: str | None = None, scratch: Scratch | None = None) -> DataFrame:

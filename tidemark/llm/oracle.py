@@ -66,17 +66,19 @@ def _level(name: str, groups: str, above: str, key: str) -> str:
 
 
 URLS = rf"""
-WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(r, '^([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}') ELSE '' END AS host,
+WITH p AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS plain FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN translate(regexp_extract(r, '^([^/?#]*)', 1), '{u.UPPER}', '{u.LOWER}') ELSE '' END AS host,
                   CASE WHEN contains(url, '://') THEN regexp_extract(r, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
-           FROM (SELECT page_id, url, substr(url, strpos(url, '://') + 3) AS r FROM pages)),
+           FROM (SELECT page_id, url, substr(url, strpos(url, '://') + 3) AS r FROM pages))),
 o AS (SELECT doc_id, max(CASE WHEN coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
-hosts AS (SELECT host AS name, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS b
-          FROM p LEFT JOIN o ON p.page_id = o.doc_id GROUP BY 1),
+hosts AS (SELECT plain AS name, CASE WHEN ip THEN plain WHEN long THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain,
+                 CASE WHEN ip THEN '' WHEN long THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix, n, b
+          FROM (SELECT plain, string_split(plain, '.') AS labels, regexp_matches(plain, '{u.IP_ADDRESS}') AS ip, array_to_string(string_split(plain, '.')[-2:], '.') IN {u.LONG_SUFFIXES} AS long,
+                       CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS b FROM p LEFT JOIN o ON p.page_id = o.doc_id GROUP BY 1)),
 domains AS (SELECT domain AS name, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix AS name, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY 1),
 whole AS (SELECT s.name, (sum(h.b) + {u.START_BAD}) / (sum(h.n) + {u.START_PAGES}) AS mean FROM suffixes s, hosts h GROUP BY 1),
 {_level('by_suffix', 'suffixes', 'whole', 'name')}, {_level('by_domain', 'domains', 'by_suffix', 'suffix')}, {_level('by_host', 'hosts', 'by_domain', 'domain')}
 SELECT page_id, host, path, r[1] AS rule, coalesce(r[2], CASE WHEN mean - {u.Z} * sqrt(mean * (1 - mean) / (strength + 1)) > {u.BAD_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM (SELECT *, {_rules()} AS r FROM p) p JOIN by_host ON p.host = by_host.name"""
+FROM (SELECT *, {_rules()} AS r FROM p) p JOIN by_host ON p.plain = by_host.name"""
 
 _BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '')"
 WARC = f"""

@@ -21,8 +21,10 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named in spark.checkpoint.dir; set to a default only where it is unset."""
+    """Folder named in spark.checkpoint.dir; where it is unset, a default on one machine and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return named.rstrip("/") if named else _local_dir()
 
 
@@ -57,12 +59,31 @@ def fence(df: DataFrame) -> DataFrame:
     return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def clean_up() -> None:
+    """Deletes the tables of all operator calls so far; results that were not written yet cannot be read after it.
+
+    Runs when the process ends, for the contexts that are still there then.
+    """
+    while _roots:
+        spark, root = _roots.pop()
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(root)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+atexit.register(clean_up)
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes a DataFrame and reads it again; ``drop`` deletes such a table."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n, self._of = 0, {}
+        _roots.append((spark, self.root))
         ship(spark)
 
     def path(self, name: str) -> str:

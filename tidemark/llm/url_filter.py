@@ -4,7 +4,8 @@ Labelled page outcomes are counted by host, registered domain and suffix. Each l
 its prior has the posterior mean of the level above and a strength fitted to the spread of the level's rates
 around that mean by the method of moments. A host is blocked when the lower bound of its posterior rate of bad
 pages, mean - z * standard deviation, is over a limit. Hosts without labels have their domain's or suffix's
-posterior as prior, and so inherit its mean with that level's spread.
+posterior as prior, and so inherit its mean with that level's spread. User names and ports do not count, IP addresses
+are domains without a suffix, and suffixes of two labels come from a short list that is a parameter.
 """
 
 from __future__ import annotations
@@ -50,13 +51,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host (all of a shorter one)."""
-    return F.substring_index(host, ".", -2)
+# Suffixes of two labels under which domains are registered; all others are taken to have one label.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk",
+    "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.uk", "ne.jp", "net.au",
+    "net.br", "net.cn", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za",
+)
+IP_ADDRESS = r"^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|\[.*)$"
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def plain_host(host: Column) -> Column:
+    """A host without user name and port, under which its outcomes are counted."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def suffix(host: Column, long_suffixes=LONG_SUFFIXES) -> Column:
+    """The last two labels of a host if they are a suffix of two, else the last one; none for an IP address."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(host.rlike(IP_ADDRESS), "").when(two.isin(*long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
+
+
+def registered_domain(host: Column, long_suffixes=LONG_SUFFIXES) -> Column:
+    """The suffix of a host and the label before it (all of a shorter one); an IP address is its own domain."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(host.rlike(IP_ADDRESS), host).when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _strength(groups: DataFrame, n: Column, bad: Column, mean: Column) -> DataFrame:
@@ -87,7 +105,7 @@ def _shrunk(groups: DataFrame, above: DataFrame, key: str, level: str) -> DataFr
     return joined.withColumn(f"{level}_mean", (F.col("bad") + F.col("m") * F.col("prior")) / (F.col("n") + F.col("m"))).withColumn(f"{level}_strength", F.col("n") + F.col("m")).drop("prior", "m")
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes=LONG_SUFFIXES) -> DataFrame:
     """(host, n, bad, mean, lower) for every host of pages (page_id, host).
 
     outcomes: (page_id long, bad 0/1 int), at most one row a page; null outcomes are ignored. n and bad count the
@@ -96,7 +114,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     labelled = pages.join(outcomes.where("bad IS NOT NULL"), "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    hosts = hosts.withColumn("domain", registered_domain(F.col("host"), long_suffixes)).withColumn("suffix", suffix(F.col("host"), long_suffixes))
     total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + START_BAD) / (F.coalesce(F.sum("n"), F.lit(0.0)) + START_PAGES)).alias("prior"))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -108,18 +126,20 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return by_host.select("host", F.col("n").cast("long").alias("n"), F.col("bad").cast("long").alias("bad"), mean.alias("mean"), lower.alias("lower"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_limit: float = BAD_LIMIT) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_limit: float = BAD_LIMIT, long_suffixes=LONG_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages (page_id long, url string).
 
     A rule that fits decides; else a page is blocked if its host's posterior lower bound is over bad_limit. A url
     that is null or without :// has an empty host and path, fits no rule, and shares the reputation of the empty
-    host. Repeated rows stay, other columns are ignored, an empty table gives no rows.
+    host. Pages without a page_id have no outcome of their own. Repeated rows stay, other columns are ignored, an empty table gives no rows.
     """
     urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     urls = urls.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
-    blocked = host_reputation(urls.select("page_id", "host"), outcomes).select("host", (F.col("lower") > bad_limit).alias("bad_host"))
+    urls = urls.withColumn("_plain", plain_host(F.col("host")))
+    hosts = host_reputation(urls.select("page_id", F.col("_plain").alias("host")), outcomes, long_suffixes)
+    blocked = hosts.select(F.col("host").alias("_plain"), (F.col("lower") > bad_limit).alias("bad_host"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    judged = urls.join(blocked, "host", "left")
+    judged = urls.join(blocked, "_plain", "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("bad_host"), "block").otherwise("allow")).alias("verdict"))
 
 

@@ -38,6 +38,9 @@ ARC_FIELDS = {
     "2": ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 CRLF = b"\r\n"
+#: What a page without an id has in its place.
+NO_PAGE = b"none"
+_NO_PAGE = re.compile(rb"^X-Page-Id:[ \t]*none[ \t\r]*$", re.IGNORECASE | re.MULTILINE)
 _PAGE = re.compile(rb"^X-Page-Id:[ \t]*(-?\d+)[ \t\r]*$", re.IGNORECASE | re.MULTILINE)
 _GAP = re.compile(r"[\x00-\x20\x7f]+")
 
@@ -64,8 +67,9 @@ def iso_date(digits: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
 
 
-def http_block(page: int, payload: bytes) -> bytes:
-    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n" % (page, len(payload)) + payload
+def http_block(page: int | None, payload: bytes) -> bytes:
+    own = NO_PAGE if page is None else b"%d" % page
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nX-Page-Id: %b\r\nContent-Length: %d\r\n\r\n" % (own, len(payload)) + payload
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -186,22 +190,22 @@ def write_arc(pages: DataFrame, path: str, scratch: Scratch) -> None:
 
 
 def read_arc(spark, path: str, with_payload: bool) -> DataFrame:
-    """(key, url, date, digest, size) of each record under path, with its head and payload if wanted.
+    """(key, page, url, date, digest, size) of each record under path, with its head and payload if wanted.
 
-    key is the page's id from the block's X-Page-Id, else 64 bits of a digest of URL, date and block.
+    page is the id from the block's X-Page-Id, else null; key is it, else 64 bits of a digest of URL, date and block.
     """
-    schema = "key long, url string, date string, digest string, size long" + ", head binary, payload binary" * with_payload
+    schema = "key long, page long, url string, date string, digest string, size long" + ", head binary, payload binary" * with_payload
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                columns = [[] for _ in range(5 + 2 * with_payload)]
+                columns = [[] for _ in range(6 + 2 * with_payload)]
                 held = 0
                 for f, block in parse_arc(_inflated(data.as_py())):
                     head, payload = split_http(block)
                     page = _PAGE.search(head)
                     key = int(page[1]) if page else int.from_bytes(hashlib.sha256(f"{f['URL']} {f['Archive-date']} ".encode() + block).digest()[:8], "big", signed=True)
-                    row = (key, f["URL"], f["Archive-date"], payload_digest(payload), len(payload), head, payload)
+                    row = (key, int(page[1]) if page else None, f["URL"], f["Archive-date"], payload_digest(payload), len(payload), head, payload)
                     for c, v in zip(columns, row, strict=False):
                         c.append(v)
                     held += len(block) if with_payload else 64
@@ -210,20 +214,20 @@ def read_arc(spark, path: str, with_payload: bool) -> DataFrame:
                         columns, held = [[] for _ in columns], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    names = ["key", "url", "date", "digest", "size", "head", "payload"][: 5 + 2 * with_payload]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()][: len(names)]
+    names = ["key", "page", "url", "date", "digest", "size", "head", "payload"][: 6 + 2 * with_payload]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()][: len(names)]
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, schema)
 
 
 def convert_arc(spark, arc: str, warc: str, scratch: Scratch, least_revisit: int = LEAST_REVISIT) -> None:
     """Converts the ARC files under arc to gzipped WARC files under warc, a record for each record.
 
-    Of captures whose payloads of least_revisit bytes or more are equal, the one with the smallest key is a response
-    and the others revisit it. Keys of copies are found first from digests alone, and payloads are read again only to
+    Of captures whose payloads of least_revisit bytes or more are equal, the one with the smallest page id (without any,
+    the smallest key) is a response and the others revisit it. Keys of copies are found first from digests alone, and payloads are read again only to
     be written: they are not shuffled unless the table of copies is too large to send to the tasks.
     """
     seen = read_arc(spark, arc, False).where(F.col("size") >= least_revisit)
-    firsts = seen.groupBy("digest", "size").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
+    firsts = seen.groupBy("digest", "size").agg(F.coalesce(F.min("page"), F.min("key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
     firsts = scratch.keep(firsts)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +260,8 @@ def read_warc(spark, path: str) -> DataFrame:
                     if h["warc-payload-digest"] != f"sha1:{digest}" or h["warc-block-digest"] != f"sha1:{payload_digest(block)}":
                         raise ValueError(f"{h['warc-record-id']}: its digest is not that of its bytes")
                     refers = None if response else record_key(h["warc-refers-to"])
-                    rows.append((record_key(h["warc-record-id"]), len(payload) if response else int(h["x-payload-length"]), digest, h["warc-type"], refers, h["warc-target-uri"], h["warc-date"]))
+                    own = None if _NO_PAGE.search(split_http(block)[0]) else record_key(h["warc-record-id"])
+                    rows.append((own, len(payload) if response else int(h["x-payload-length"]), digest, h["warc-type"], refers, h["warc-target-uri"], h["warc-date"]))
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -269,7 +274,8 @@ def archive_pages(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame
 
     pages (page_id long, url string, html string) are written as ARC archives, converted to WARC, and read back. A null
     html is like an empty one, a null url is written as a dash; white space and control characters in a url are escaped.
-    Rows that repeat a page_id with equal html are all responses. Other columns are ignored; an empty table gives an
+    Rows that repeat a page_id with equal html are all responses. A row without a page_id keeps none and is a response only
+    if no page has its html; of such rows refers_to is the number that the response's record id holds. Other columns are ignored; an empty table gives an
     archive without captures and no rows.
     """
     spark = pages.sparkSession
