@@ -23,8 +23,8 @@ from tidemark.llm.scratch import Scratch
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Newton rounds end when every source is this close to its target, as a part of it (and two units of a sum).
 TOLERANCE = 1e-6
-#: Every so many rounds the bracket is halved, so that it closes whatever Newton's steps do, long before so many rounds.
-HALVED, ROUNDS = 3, 300
+#: So many steps go in one job. A step halves what is off or the next halves the bracket, so far fewer rounds are needed.
+STEPS, ROUNDS = 3, 100
 #: Documents of equal size in a source are ranked in buckets of about so many.
 BUCKET_DOCS = 4096
 #: Words are summed in units of 1 / UNIT.
@@ -82,21 +82,13 @@ def tilts(counts: DataFrame, targets: DataFrame, scratch: Scratch, most: int = M
     top = F.log(F.lit(float(most))) * scale + 1e-9
     bottom = F.when(F.col("target") > 0, -F.col("source_size") / (F.col("target") * 2.7) - 1).otherwise(-1e6 * scale)
     closed = F.when(F.col("target") >= F.col("source_size") * most, top).when(F.col("target") <= 0, bottom)
-    state = targets.select("key", "target", scale.alias("scale"), F.coalesce(closed, F.lit(0.0)).alias("lam"), bottom.alias("lo"), top.alias("hi"), closed.isNotNull().alias("done"))
+    state = targets.select("key", "target", scale.alias("scale"), F.coalesce(closed, F.lit(0.0)).alias("lam"), bottom.alias("lo"), top.alias("hi"), F.lit(float("inf")).alias("gap"), closed.isNotNull().alias("done"))
     state = scratch.keep(state)
-    for n_round in range(ROUNDS):
-        with_state = counts.where("size > 0").join(state.where("NOT done").select("key", "scale", "lam"), "key")
-        words, c = F.col("n") * F.col("size"), F.col("size") / F.col("scale")
-        rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), most)
-        sums = with_state.groupBy("key").agg((_whole(words * rate) / UNIT).alias("got"), (_whole(F.when(rate < most, words * c * rate).otherwise(0.0)) / UNIT).alias("slope"))
-        both = state.join(sums, "key", "left")
-        off = F.col("got") - F.col("target")
-        lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.col("lam") - F.try_divide(off, F.col("slope"))
-        newton = F.lit(n_round % HALVED != HALVED - 1)
-        step = F.when(newton & (step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
-        ended = F.col("done") | F.col("got").isNull() | (F.abs(off) <= F.col("target") * TOLERANCE + 2 / UNIT)
-        new = scratch.keep(both.select("key", "target", "scale", F.when(ended, F.col("lam")).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), ended.alias("done")))
+    for _ in range(ROUNDS):
+        new = state
+        for _ in range(STEPS):
+            new = _stepped(new, counts, most)
+        new = scratch.keep(new)
         scratch.drop(state)
         state = new
         if state.where("NOT done").isEmpty():
@@ -104,6 +96,21 @@ def tilts(counts: DataFrame, targets: DataFrame, scratch: Scratch, most: int = M
     raise RuntimeError("a source does not come to its target")
 
 
+def _stepped(state: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """state after a Newton step of every source that is not done, or after halving its bracket if the last step was poor."""
+    with_state = counts.where("size > 0").join(state.where("NOT done").select("key", "scale", "lam"), "key")
+    words, c = F.col("n") * F.col("size"), F.col("size") / F.col("scale")
+    rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), most)
+    sums = with_state.groupBy("key").agg((_whole(words * rate) / UNIT).alias("got"), (_whole(F.when(rate < most, words * c * rate).otherwise(0.0)) / UNIT).alias("slope"))
+    off = F.col("got") - F.col("target")
+    lo, hi = F.when(off < 0, F.col("lam")).otherwise(F.col("lo")), F.when(off > 0, F.col("lam")).otherwise(F.col("hi"))
+    step = F.col("lam") - F.try_divide(off, F.col("slope"))
+    step = F.when((step > lo) & (step < hi) & (F.abs(off) <= F.col("gap") / 2), step).otherwise((lo + hi) / 2)
+    ended = F.col("done") | F.col("got").isNull() | (F.abs(off) <= F.col("target") * TOLERANCE + 2 / UNIT)
+    out = state.join(sums, "key", "left")
+    return out.select("key", "target", "scale", F.when(ended, F.col("lam")).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), F.abs(off).alias("gap"), ended.alias("done"))
+
+
 def _groups(sized: DataFrame, counts: DataFrame) -> DataFrame:
     """sized (key, size, doc_id, ...) with its bucket: equal sizes of a source in buckets of about BUCKET_DOCS."""
     many = counts.where(F.col("n") > BUCKET_DOCS).select("key", "size", F.ceil(F.col("n") / BUCKET_DOCS).alias("buckets"))
@@ -126,13 +133,12 @@ def rounded(groups: DataFrame, targets: DataFrame, scratch: Scratch, most: int =
         many = F.least(can, F.floor(F.abs("off") / F.col("size") + 0.5 - 1e-9)).cast("long")
         both = both.where("size > 0").withColumn("many", many).where("many > 0")
         picks = both.groupBy("key").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("many") * F.col("size")).alias("gap"), "size", "bucket", (F.signum("off") * F.col("many")).cast("long").alias("flip"))).alias("p"))
-        picks = scratch.keep(picks.select("key", "p.size", "p.bucket", "p.flip"))
-        if picks.isEmpty():
-            return held
-        new = held.join(picks, list(GROUP), "left").select(*GROUP, "n", "rate", (F.col("copies") + F.coalesce("flip", F.lit(0))).alias("copies"))
-        new = scratch.keep(new)
-        scratch.drop(held, picks)
+        new = held.join(picks.select("key", "p.size", "p.bucket", "p.flip"), list(GROUP), "left")
+        new = scratch.keep(new.select(*GROUP, "n", "rate", (F.col("copies") + F.coalesce("flip", F.lit(0))).alias("copies"), F.col("flip").isNotNull().alias("flipped")))
+        scratch.drop(held)
         held = new
+        if held.where("flipped").isEmpty():
+            return held.drop("flipped")
 
 
 def mix_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, carry: str | None = None, scratch: Scratch | None = None) -> DataFrame:
