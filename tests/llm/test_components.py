@@ -44,8 +44,10 @@ def test_components(spark, name):
 def test_the_shared_folder_is_the_sessions():
     session = SimpleNamespace(conf={"spark.checkpoint.dir": "store://x/shared/"})
     assert shared_dir(session) == "store://x/shared"
-    unset = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getConf=dict))
+    unset = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getConf=dict, master="local[2]"))
     assert shared_dir(unset).startswith("file:///tmp/checkpoints/")
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getConf=dict, master="spark://x:7077")))
 
 
 def test_kept_tables_can_be_dropped(spark):

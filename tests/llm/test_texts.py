@@ -383,3 +383,52 @@ def test_neighbours_fill_a_seeds_window():
     for d, _, _, sequence, _ in pieces:
         kinds[sequence].add(d % 2)
     assert sum(len(k) == 1 for k in kinds.values()) >= len(kinds) - 2
+
+
+def test_rows_without_ids_and_with_repeated_ids(spark):
+    """Every row stays; an id that two texts share does not mix them up."""
+    prose = [" ".join(f"p{k}w{i * 31 % 97}" for i in range(70)) for k in range(4)]
+    page = "\n".join(f"a line {i} that two rows share" for i in range(40))
+    rows = [(None, prose[0], "a"), (None, prose[0], None), (None, None, "a"), (1, prose[0], "a"), (7, prose[1], "b"), (7, prose[2], "b"), (7, prose[2], "b"), (8, prose[2], "b"), (1 << 60, prose[3], "b"), ((1 << 60) + 1, prose[3], "b")]
+    rows += [(20, page, "a"), (21, "\n".join(f"own {i}" for i in range(40)) + "\n" + page, "a"), (21, "\n".join(f"other {i}" for i in range(90)), "a"), (None, page, "a")]
+    table = cases(spark, rows)
+    got = [tuple(r) for r in ngram_jaccard.jaccard_components(table).collect()]
+    sizes = {t: n for (_, t, _), (_, n, _) in zip(rows, (next(p for p in plain_components([(0, t)])) for _, t, _ in rows), strict=True)}
+    component = {prose[0]: 1, prose[1]: 7, prose[2]: 7, prose[3]: 1 << 60, page: 20}
+    want = [(i, sizes[t], None if i is None else component.get(t, i)) for i, t, _ in rows]
+    near = [r for r in got if r[0] != 21]
+    assert sorted(map(str, near)) == sorted(map(str, (w for w in want if w[0] != 21))) and len(got) == len(rows)
+    counted = [tuple(r) for r in token_count.count_tokens(table, tokenizer_path(TOKENIZER)).collect()]
+    assert sorted(map(str, counted)) == sorted(str((i, len((t or "").encode()), len(ids), len(ids) > 2048)) for (i, t, _), (_, ids) in zip(rows, library_counts([r[:2] for r in rows]), strict=True))
+    assert sorted(map(str, ([r["doc_id"], *tuple(r)[1:7]] for r in quality_rules.judge_quality(table).collect()))) == sorted(str([i, *plain_quality(t)]) for i, t, _ in rows)
+    assert secret_scan.scan_secrets(table).count() == entropy_mix.mix_copies(table).count() == line_chunks.chunk_report(table).count() == len(rows)
+    left = collections.defaultdict(list)
+    for r in line_chunks.dedup_lines(table).collect():
+        left[r["doc_id"]].append(r["text"] or "")
+    assert rows[12][1] in left[21] and page in left[None] and left[20] == [page] and min(map(len, left[21])) < 800
+    ids = sorted((len(x) + 1 for _, x in library_counts([r[:2] for r in rows])))
+    assert sum(p["length"] for p in bm25_pack.pack_documents(table, tokenizer_path(TOKENIZER)).collect()) == sum(ids)
+
+
+def test_a_large_group_of_near_copies_makes_few_rows(spark, monkeypatch):
+    """700 texts, mostly not linked with each other but by way of one: no step keeps rows for their pairs."""
+    from tidemark.llm.scratch import Scratch
+
+    rng, kept, keep = random.Random(9), [], Scratch.keep
+
+    def counted(self, df, by=None):
+        out = keep(self, df, by)
+        kept.append(out.count())
+        return out
+
+    base = [f"v{i}" for i in range(150)]
+    rows = [(0, " ".join(base), "s")]
+    for k in range(1, 700):
+        w = list(base)
+        for j in rng.sample(range(0, 150, 7), 3):
+            w[j] = f"e{k}x{j}"
+        rows.append((k, " ".join(w), "s"))
+    monkeypatch.setattr(Scratch, "keep", counted)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)).collect()
+    assert {tuple(r) for r in got} == plain_components([r[:2] for r in rows])
+    assert max(kept) < 250 * len(rows) and len({r["component_id"] for r in got}) < 20
