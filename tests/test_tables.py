@@ -120,6 +120,25 @@ def test_build_writes_tables_and_reads_them(spark, tmp_path, m):
     assert set(paths) == {n for n in MODELS if n.split("_")[0] not in ("stg", "int")}
     assert spark.read.parquet(paths["fct_appointments"]).select("appointment_date_month").distinct().count() == 2
     assert built.agg_monthly_country_kpis.count() == m.agg_monthly_country_kpis.count()
+    assert paths["fct_appointments"] == f"file://{tmp_path}/marts/fct_appointments"
+
+    # A later build takes rows that are newer than the newest it has, and leaves the others as they are.
+    raw = small_raw(spark)
+    visits = raw.raw_appointments
+    one, two = (r[0] for r in visits.orderBy("appointment_id").select("appointment_id").limit(2).collect())
+    late = F.lit("2099-01-01 00:00:00").cast(visits.schema["updated_at"].dataType)
+    at = F.col("appointment_id")
+    raw.raw_appointments = visits.withColumns({"updated_at": F.when(at == one, late).otherwise(F.col("updated_at")), "channel": F.when(at.isin(one, two), "changed").otherwise(F.col("channel"))})
+    later = materialise.build(Models(spark, raw=raw, config=m.config), f"file://{tmp_path}", full_refresh=False)
+    rows = {r["appointment_id"]: r["channel"] for r in spark.read.parquet(later["fct_appointments"]).collect()}
+    assert rows[one] == "changed" and rows[two] != "changed" and len(rows) == m.fct_appointments.count()
+
+
+def test_a_build_stops_at_a_broken_contract(spark, tmp_path, m):
+    broken = Models(spark, raw=m.raw, config=m.config)
+    broken._made["dim_countries"] = m.dim_countries.withColumn("currency", F.lit(1))
+    with pytest.raises(ValueError, match="currency"):
+        materialise.build(broken, f"file://{tmp_path}")
 
 
 # Merge, history, contracts, freshness.

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.registry import query
-from tidemark.operators.tables import first_versions, merged, newer, next_versions
+from tidemark.operators.tables import contract_violations, first_versions, merged, newer, next_versions
+from tidemark.plans.contracts import CONTRACTS, contract
 from tidemark.plans.models import Models, appointment_facts
 from tidemark.plans.quality import TESTS, failures
 
@@ -53,6 +54,12 @@ def scd2_patients(m: Models) -> DataFrame:
     return _history(rows.where("patient_id % 17 <> 0"), second, "patient_id", ("is_active", "city", "country_id", "acquisition_channel"))
 
 
+@query
+def contract_core(m: Models) -> DataFrame:
+    """How many columns of each core model differ from its contract."""
+    return m.spark.createDataFrame([(n, len(contract_violations(getattr(m, n), contract(n)))) for n in CONTRACTS], "model string, violations long")
+
+
 def _test(name: str):
     def run(m: Models) -> DataFrame:
         """Failing rows of the tests of this kind, one row a test so that none failing compares as well."""

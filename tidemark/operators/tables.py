@@ -30,9 +30,12 @@ def merged(target: DataFrame, delta: DataFrame, key: Sequence[str]) -> DataFrame
 
 
 def write_partitioned(df: DataFrame, path: str, day: str, cluster: Sequence[str], mode: str = "overwrite") -> None:
-    """Parquet by month of day, rows of a file in order of the cluster columns, so row groups can be skipped."""
+    """Parquet by month of day, rows of a file in order of the cluster columns, so row groups can be skipped.
+
+    Tasks take ranges of month and cluster columns, so that a large month is the work of several.
+    """
     month = f"{day}_month"
-    df.withColumn(month, month_of(day)).repartition(month).sortWithinPartitions(month, *cluster).write.mode(mode).partitionBy(month).parquet(path)
+    df.withColumn(month, month_of(day)).repartitionByRange(month, *cluster).sortWithinPartitions(month, *cluster).write.mode(mode).partitionBy(month).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, day: str, low: dt.date, high: dt.date) -> DataFrame:
@@ -57,7 +60,7 @@ def upsert_partitioned(spark: SparkSession, path: str, delta: DataFrame, key: Se
     out = merged(target.join(touched, month, "left_semi"), delta, key)
     out.write.mode("overwrite").parquet(f"{staging}/rows")
     out = spark.read.parquet(f"{staging}/rows")
-    out.repartition(month).sortWithinPartitions(month, *cluster).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+    out.repartitionByRange(month, *cluster).sortWithinPartitions(month, *cluster).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     for row in touched.join(out.select(month).distinct(), month, "left_anti").collect():  # months, a small number by nature
         at = fs_path(f"{path}/{month}={row[0]}")

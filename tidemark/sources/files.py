@@ -61,7 +61,7 @@ def write_extracts(models, folder: str) -> list[str]:
     """The dashboards' CSV extracts, one folder a mart. Marts are aggregates by month or day, so one file each."""
     for name, keep in EXTRACTS.items():
         rows = getattr(models, name)
-        (rows.where(keep) if keep else rows).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        (rows.where(keep) if keep else rows).repartition(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
     return sorted(EXTRACTS)
 
 
