@@ -116,4 +116,29 @@ r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_repl
 SELECT * EXCLUDE (stays), n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEATED_PERCENT} * n_words AS base_failed,
        NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEATED_PERCENT} * n_words) AND stays AS kept FROM r"""
 
-ORACLE = {"op1_ngram_jaccard": JACCARD, "op2_secret_scan": SECRETS, "op3_url_filter": URLS, "op6_warc": WARC, "op7_quality_rules": QUALITY}
+# CRC-32 of a decimal number, byte by byte over the table of the reversed polynomial.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)"
+
+
+def _crc32(number: str) -> str:
+    bytes_of = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+PERIODS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, {_crc32('doc_id')} AS h FROM documents, {_CRC_TABLE}),
+a AS (SELECT *, CAST(len(ws) AS BIGINT) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+v AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS ws FROM a),
+w AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(ws) AS w FROM v),
+same AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM same) GROUP BY doc_id, p, g),
+runs AS (SELECT doc_id, s, l, min(p) AS p FROM stretch WHERE l >= greatest(6, 4 * p) GROUP BY 1, 2, 3),
+best AS (SELECT doc_id, s, l, p FROM runs r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS HUGEINT) * 1000000000000 // p DESC, s, p) = 1),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', p, chr(10)), '' ORDER BY s, p) AS lines FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, v.n AS n_words, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM v LEFT JOIN best b USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE = {"op1_ngram_jaccard": JACCARD, "op2_secret_scan": SECRETS, "op3_url_filter": URLS, "op6_warc": WARC, "op7_quality_rules": QUALITY, "op13_periodic_runs": PERIODS}

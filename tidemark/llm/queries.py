@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bm25_pack, entropy_mix, line_chunks, ngram_jaccard, pivot_index, quality_rules, secret_scan, token_count, url_filter, warc
+from tidemark.llm import bm25_pack, entropy_mix, line_chunks, ngram_jaccard, periodic_runs, pivot_index, quality_rules, secret_scan, token_count, url_filter, warc
 from tidemark.llm.oracle import ORACLE
 from tidemark.llm.tokens import tokenizer_path
 
@@ -58,8 +58,12 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.chunk_report(_table(spark, sf_dir, "documents"), kinds=(line_chunks.CHUNKS, line_chunks.PASSAGES))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.with_periods(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard, op2_secret_scan, op3_url_filter, op4_token_count, op5_embedding_dedup, op6_warc, op7_quality_rules, op8_bm25_pack, op9_entropy_mix, op10_line_chunks)
+    own = (op1_ngram_jaccard, op2_secret_scan, op3_url_filter, op4_token_count, op5_embedding_dedup, op6_warc, op7_quality_rules, op8_bm25_pack, op9_entropy_mix, op10_line_chunks, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
