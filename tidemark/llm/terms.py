@@ -12,24 +12,28 @@ _B = np.arange(256)
 _TERM = ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122)) | (_B >= 128)
 
 
-def _run(texts: list[bytes]) -> Iterator[np.ndarray]:
+def _run(texts: list[bytes], heads: tuple[int, ...]) -> Iterator[np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     edge = np.flatnonzero(np.diff(_TERM[data], prepend=False))
     starts, ends = edge[::2], edge[1::2]
-    terms = span_hashes(data, starts, ends, _CODE) if len(starts) else np.empty(0, np.uint64)
+    rows = [span_hashes(data, starts, stops, _CODE) for stops in (ends, *(np.minimum(starts + k, ends) for k in heads))] if len(starts) else [np.empty(0, np.uint64)] * (1 + len(heads))
+    terms = np.stack(rows) if heads else rows[0]
     borders = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
     for a, b in zip(borders[:-1], borders[1:], strict=True):
-        yield terms[a:b]
+        yield terms[..., a:b]
 
 
-def term_lists(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
-    """The terms of each text in their order, repeats included; null is like an empty text."""
+def term_lists(texts: Iterable[bytes | None], heads: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """The terms of each text in their order, repeats included; null is like an empty text.
+
+    With heads, numbers of bytes, there is one row of terms and one of their first bytes for each number.
+    """
     run, size = [], 0
     for t in texts:
         run.append(t or b"")
         size += len(run[-1])
         if size >= RUN_BYTES:
-            yield from _run(run)
+            yield from _run(run, heads)
             run, size = [], 0
     if run:
-        yield from _run(run)
+        yield from _run(run, heads)
