@@ -116,6 +116,18 @@ r AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_repl
 SELECT * EXCLUDE (stays), n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEATED_PERCENT} * n_words AS base_failed,
        NOT (n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEATED_PERCENT} * n_words) AND stays AS kept FROM r"""
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '{_TERM}') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, n_docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(coalesce({_LOWER}, ''), '{_TERM}')) AS t FROM benchmark),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN tf USING (t) JOIN w USING (t), s GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
 # CRC-32 of a decimal number, byte by byte over the table of the reversed polynomial.
 _CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table)"
 
@@ -141,4 +153,4 @@ SELECT doc_id, v.n AS n_words, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM v LEFT JOIN best b USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLE = {"op1_ngram_jaccard": JACCARD, "op2_secret_scan": SECRETS, "op3_url_filter": URLS, "op6_warc": WARC, "op7_quality_rules": QUALITY, "op13_periodic_runs": PERIODS}
+ORACLE = {"op1_ngram_jaccard": JACCARD, "op2_secret_scan": SECRETS, "op3_url_filter": URLS, "op6_warc": WARC, "op7_quality_rules": QUALITY, "op11_ranked_search": SEARCH, "op13_periodic_runs": PERIODS}

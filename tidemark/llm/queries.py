@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bm25_pack, entropy_mix, line_chunks, ngram_jaccard, periodic_runs, pivot_index, quality_rules, secret_scan, token_count, toxic_passages, url_filter, warc
+from tidemark.llm import block_max, bm25_pack, entropy_mix, line_chunks, ngram_jaccard, periodic_runs, pivot_index, quality_rules, secret_scan, token_count, toxic_passages, url_filter, warc
 from tidemark.llm.oracle import ORACLE
 from tidemark.llm.tokens import tokenizer_path
 
@@ -59,6 +59,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.chunk_report(_table(spark, sf_dir, "documents"), kinds=(line_chunks.CHUNKS, line_chunks.PASSAGES))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.search(block_max.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxic_passages.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
@@ -69,7 +73,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_jaccard, op2_secret_scan, op3_url_filter, op4_token_count, op5_embedding_dedup, op6_warc, op7_quality_rules, op8_bm25_pack, op9_entropy_mix, op10_line_chunks, op12_toxic_passages, op13_periodic_runs)
+    own = (op1_ngram_jaccard, op2_secret_scan, op3_url_filter, op4_token_count, op5_embedding_dedup, op6_warc, op7_quality_rules, op8_bm25_pack, op9_entropy_mix, op10_line_chunks, op11_ranked_search, op12_toxic_passages, op13_periodic_runs)
     return {f.__name__: f for f in own}
 
 
