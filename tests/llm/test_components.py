@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tidemark.llm.components import components
+from tidemark.llm.components import _large_star, components
 from tidemark.llm.scratch import Scratch, shared_dir
 
 
@@ -57,3 +57,27 @@ def test_kept_tables_can_be_dropped(spark):
     assert kept.count() == 3 and list(folder.rglob("*.parquet"))
     scratch.drop(kept)
     assert not list(folder.rglob("*.parquet"))
+
+
+def test_edges_of_a_hub_can_be_split(spark):
+    """Nine tenths of the edges have one end in common: the join with the minima is a skew join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(400_000).selectExpr("IF(id % 10 = 0, id, 5) AS u", "id + 1000000 AS v").repartition(24)
+        scratch = Scratch(spark, "hub")
+        star = _large_star(scratch.keep(edges), scratch)
+        assert "skew=true" in _plan_after_run(star)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _plan_after_run(df):
+    df.toArrow()
+    return df._jdf.queryExecution().executedPlan().toString()

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, scratch: Scratch) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(e: DataFrame, scratch: Scratch) -> DataFrame:
+    least = scratch.keep(e.groupBy("u").agg(F.min("v").alias("m")))
     moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -26,12 +26,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges: two long columns u and v in any direction; loops and repeats are ignored, no edges give no rows.
     Rounds end when every node points at one root and no root points on; their number grows with the
     logarithm of the longest path. Minima are combined before the shuffle, so a node with very many edges
-    costs one row a task.
+    costs one row a task there. They are written before they are joined with the edges, so that no aggregate stands
+    between the exchange and the join and Spark's skew join can split the edges of such a node.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.keep(e)
     while True:
-        after = scratch.keep(_small_star(_large_star(e)))
+        after = scratch.keep(_small_star(scratch.keep(_large_star(e, scratch)), scratch))
         scratch.drop(e)
         e = after
         n, one = e.agg(F.count("*"), F.countDistinct("u")).first()

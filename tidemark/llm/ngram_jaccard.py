@@ -479,7 +479,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size * 1.7 / REDUCE_BYTES))
     blocks = docs.mapInArrow(lambda it: _emit(it, parts, width, percent), "p int, data binary")
-    found = scratch.keep(blocks.repartition(parts, "p").mapInArrow(_reduce, _FOUND), by="kind")
+    found = scratch.keep(blocks.repartitionById(parts, F.col("p")).mapInArrow(_reduce, _FOUND), by="kind")
     facts = found.where(F.col("kind") == _META).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), F.col("d").alias("spare"), "sketch")
     classes = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sketch").alias("sketch"))
     classes = scratch.keep(classes)
@@ -489,8 +489,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
     pairs = scratch.keep(search.beside(search.beside(pairs, "a"), "b").mapInArrow(lambda it: _prune(it, percent), "a long, b long, keys long"))
     # First the pair of each node with the most common keys, then the pairs that this leaves apart.
     sets = search.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    best = Window.partitionBy("b").orderBy(F.desc("keys"), "a")
-    links = scratch.keep(_check(pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), sets, percent))
+    best = scratch.keep(pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b"))
+    links = scratch.keep(_check(best, sets, percent))
     comps = components(links, scratch)
     rest = _label(_label(pairs, "a", comps, "a_comp"), "b", comps, "b_comp").where("a_comp <> b_comp").select("a", "b")
     comps = merged(comps, scratch.keep(_check(rest, sets, percent)), scratch)
@@ -503,9 +503,34 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
         comps = merged(comps, joined, scratch)
 
     own = _label(classes.select("node", "rep", "copies"), "node", comps, "root")
-    least = own.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1")
+    least = scratch.keep(own.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1"))
     named = scratch.keep(own.join(least, "root").select("node", "component_id"))
     out = facts.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(named, "node", "left")
     without = every.where("doc_id IS NULL").select("text").mapInArrow(lambda it: _sizes(it, width), "n long")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.union(without.select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text) that stay when one of each group of near duplicates does, with all their columns.
+
+    Of a group, linked as in jaccard_components, the row with the smallest doc_id stays, rows without one last, ties by a
+    hash of doc_id and text. Rows are told apart by that 64-bit hash, not by doc_id: of rows that repeat a doc_id each goes
+    with the group of its own text, rows with equal doc_id and text are copies of which one stays, and rows without a
+    doc_id stay unless they are near another one. Texts without words link with nothing, and all their rows stay.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "one_of_each")
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded)
+    groups = jaccard_components(rows.select(row.alias("doc_id"), "text"), width, percent, scratch)
+    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component"), F.count("*").alias("copies"))
+    # Only rows of groups of two or more need more than their own key.
+    known = rows.groupBy(row.alias("_key")).agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    groups = scratch.keep(groups.join(known, "_key"))
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "_key", "copies")).alias("first"))
+    stay = scratch.keep(first.select("first._key", "first.copies"))
+    keyed = rows.withColumn("_key", row)
+    single = keyed.join(stay.where("copies = 1").hint("shuffle_hash"), "_key", "left_semi")
+    several = keyed.join(stay.where("copies > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return single.union(several).select(*docs.columns).union(docs.where(~worded))
