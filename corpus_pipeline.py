@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bm25_pack import pack_documents
 from tidemark.llm.entropy_mix import mix_documents
 from tidemark.llm.line_chunks import dedup_lines, dedup_passages
-from tidemark.llm.ngram_jaccard import jaccard_components
+from tidemark.llm.ngram_jaccard import one_of_each
 from tidemark.llm.quality_rules import keep_quality
 from tidemark.llm.queries import TOKENIZER
 from tidemark.llm.scratch import Scratch
@@ -26,9 +26,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    groups = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates: that with the smallest doc_id, rows without one last.
+
+    Rows are told apart by doc_id and text, so those without a doc_id stay unless they are near another row, and rows that
+    repeat one are near duplicates only if their texts are.
+    """
+    return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
