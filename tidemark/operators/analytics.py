@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import count_where, cut_round, euros, euros_each, month_of, months_apart, pct_growth, rate, ratio, sum_where
+from tidemark.operators.ranking import tile, with_places
 from tidemark.operators.registry import query
 from tidemark.operators.relational import DONE, PAID, _next_visit
 from tidemark.operators.tables import partition_sizes
@@ -47,8 +48,7 @@ def channel_rates(m: Models) -> DataFrame:
 
 @query
 def ltv(m: Models) -> DataFrame:
-    """Value per patient. Quintiles need one order of all patients; ranks come from counts of equal values, so that no
-    task sorts all of them."""
+    """Value per patient, with quintiles of one order of all patients (see ranking)."""
     paid = m.fct_payments.where(PAID).select("appointment_id", F.col("amount_cents").alias("paid_cents"))
     by = m.fct_appointments.where(DONE).select("appointment_id", "patient_id", "appointment_date").join(paid, "appointment_id", "left").groupBy("patient_id").agg(
         F.sum("paid_cents").alias("cents"), F.count_distinct("appointment_id").alias("total_appointments"), months_apart(F.max("appointment_date"), F.min("appointment_date")).alias("lifespan_months")
@@ -57,14 +57,8 @@ def ltv(m: Models) -> DataFrame:
         "patient_id", "cents", euros("cents").alias("ltv_eur"), "total_appointments", "lifespan_months", euros_each(F.col("cents"), F.col("total_appointments")).alias("avg_revenue_per_visit"),
         cut_round(ratio(F.col("total_appointments"), F.nullif("lifespan_months", F.lit(0))), 2).alias("visits_per_month"),
     )
-    values = by.groupBy("cents").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc_nulls_last("cents"))
-    values = values.select("cents", "n", (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    within = F.row_number().over(Window.partitionBy("cents").orderBy("patient_id"))
-    rows = by.withColumn("within", within).join(values.withColumnRenamed("cents", "c"), F.col("cents").eqNullSafe(F.col("c")))
-    place, size, extra = F.col("before") + F.col("within") - 1, F.floor(F.col("all") / 5), F.pmod("all", F.lit(5))
-    tile = F.when(place < extra * (size + 1), F.floor(place / (size + 1)) + 1).otherwise(extra + F.floor(F.try_divide(place - extra * (size + 1), size)) + 1)
-    return rows.withColumn("ltv_quintile", tile.cast("long")).drop("cents", "c", "n", "before", "all", "within")
+    rows = with_places(by, [F.desc_nulls_last("cents"), F.asc("patient_id")])
+    return rows.withColumn("ltv_quintile", tile(F.col("place"), F.col("total"), 5)).drop("cents", "place", "total")
 
 
 @query

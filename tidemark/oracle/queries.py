@@ -31,7 +31,15 @@ def _since(unit: str) -> str:
     return eur(f"sum(amount_cents) FILTER (WHERE payment_date >= date_trunc('{unit}', (SELECT max(payment_date) FROM fct_payments WHERE {PAID})))")
 
 
+_SPANS = "(SELECT {0} AS month, {1} FROM {2} GROUP BY 1 UNION ALL SELECT NULL, {1} FROM {2})"
+_ACTIVE = f"SELECT DISTINCT channel, patient_id FROM fct_appointments WHERE {DONE}"
+
 QUERY_SQL = {
+    "sketched_patients": "SELECT month, patients, TRUE AS close FROM " + _SPANS.format(M, "count(DISTINCT patient_id) AS patients", "fct_appointments"),
+    "sketched_amounts": "SELECT month, payments, TRUE AS n_equal, TRUE AS q1_close, TRUE AS median_close, TRUE AS q3_close FROM " + _SPANS.format(PM, "count(*) AS payments", f"(SELECT * FROM fct_payments WHERE {PAID})"),
+    "sketched_retention": "SELECT cohort_month, months_since_acquisition, retained_patients, TRUE AS close FROM mart_patient_retention",
+    "channel_overlap": f"SELECT a.channel, count(*) AS patients, count(w.patient_id) AS also_web, TRUE AS both_close, TRUE AS only_close FROM ({_ACTIVE}) a LEFT JOIN (SELECT patient_id FROM ({_ACTIVE}) WHERE channel = 'web') w USING (patient_id) GROUP BY 1",
+    "phone_not_web": f"SELECT patient_id FROM fct_appointments WHERE {DONE} AND channel = 'phone' EXCEPT SELECT patient_id FROM fct_appointments WHERE {DONE} AND channel = 'web'",
     "case_if_labels": "SELECT payment_id, CASE payment_status WHEN 'paid' THEN 'settled' WHEN 'refunded' THEN 'returned' ELSE 'open' END AS label, CASE WHEN amount_cents < 1000000 THEN 'small' WHEN amount_cents < 4000000 THEN 'medium' ELSE 'large' END AS band, CASE WHEN payment_method = 'card' THEN 1 ELSE 0 END::BIGINT AS by_card FROM fct_payments",
     "between_in_filter": "SELECT status, channel, count(*) AS visits FROM fct_appointments WHERE appointment_date BETWEEN '1996-01-01' AND '1996-12-31' AND status IN ('completed', 'no_show') AND channel NOT IN ('web', 'phone') GROUP BY 1, 2",
     "anchored_recency": "SELECT channel, count(*) AS visits, min(appointment_date) AS first_date FROM fct_appointments WHERE appointment_date >= (SELECT max(appointment_date) FROM fct_appointments) - 90 GROUP BY 1",
