@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules of the query, (verdict, rule).
@@ -105,13 +107,15 @@ def _shrunk(groups: DataFrame, above: DataFrame, key: str, level: str) -> DataFr
     return joined.withColumn(f"{level}_mean", (F.col("bad") + F.col("m") * F.col("prior")) / (F.col("n") + F.col("m"))).withColumn(f"{level}_strength", F.col("n") + F.col("m")).drop("prior", "m")
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes=LONG_SUFFIXES) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes=LONG_SUFFIXES, scratch: Scratch | None = None) -> DataFrame:
     """(host, n, bad, mean, lower) for every host of pages (page_id, host).
 
     outcomes: (page_id long, bad 0/1 int), at most one row a page; null outcomes are ignored. n and bad count the
     labelled pages of a host, mean is its posterior rate of bad pages and lower its bound. Without any label
-    every rate is START_BAD / START_PAGES.
+    every rate is START_BAD / START_PAGES. The figures of suffixes and domains are written before they are joined, so that
+    no aggregate stands between an exchange and its join and Spark's skew join can split the hosts of a large domain.
     """
+    scratch = scratch or Scratch(pages.sparkSession, "hosts")
     labelled = pages.join(outcomes.where("bad IS NOT NULL"), "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"), long_suffixes)).withColumn("suffix", suffix(F.col("host"), long_suffixes))
@@ -119,8 +123,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, long_suffixes=LONG_SU
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = _shrunk(suffixes, suffixes.select("suffix").crossJoin(F.broadcast(total)), "suffix", "suffix")
-    by_domain = _shrunk(domains, by_suffix.select("suffix", F.col("suffix_mean").alias("prior")), "suffix", "domain")
-    by_host = _shrunk(hosts, by_domain.select("domain", F.col("domain_mean").alias("prior")), "domain", "host")
+    by_domain = _shrunk(domains, scratch.keep(by_suffix.select("suffix", F.col("suffix_mean").alias("prior"))), "suffix", "domain")
+    by_host = _shrunk(hosts, scratch.keep(by_domain.select("domain", F.col("domain_mean").alias("prior"))), "domain", "host")
     mean, strength = F.col("host_mean"), F.col("host_strength")
     lower = mean - F.lit(Z) * F.sqrt(mean * (1 - mean) / (strength + 1))
     return by_host.select("host", F.col("n").cast("long").alias("n"), F.col("bad").cast("long").alias("bad"), mean.alias("mean"), lower.alias("lower"))
@@ -136,8 +140,10 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_limit: f
     urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     urls = urls.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     urls = urls.withColumn("_plain", plain_host(F.col("host")))
-    hosts = host_reputation(urls.select("page_id", F.col("_plain").alias("host")), outcomes, long_suffixes)
-    blocked = hosts.select(F.col("host").alias("_plain"), (F.col("lower") > bad_limit).alias("bad_host"))
+    scratch = Scratch(pages.sparkSession, "urls")
+    hosts = host_reputation(urls.select("page_id", F.col("_plain").alias("host")), outcomes, long_suffixes, scratch)
+    # Written before the join, as above: the pages of a large host, or those without one, are then split over tasks.
+    blocked = scratch.keep(hosts.where(F.col("lower") > bad_limit).select(F.col("host").alias("_plain"), F.lit(True).alias("bad_host")))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     judged = urls.join(blocked, "_plain", "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("bad_host"), "block").otherwise("allow")).alias("verdict"))
