@@ -10,6 +10,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import pivot_index, url_filter, warc
 from tidemark.llm.scratch import Scratch
 
@@ -224,3 +226,47 @@ def test_near_vectors_of_several_lengths(spark):
     rows = [(None, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [0.01, 1.0])]
     got = {(r["vec_id"], r["embedding"][0]): r[1:4] for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id").collect()}
     assert got[(2, 1.0)] == (1, 2, True) and got[(4, 0.01)] == (0, 4, True)
+
+
+def test_pages_without_ids_and_repeated_ids_fill_several_files(spark, tmp_path, monkeypatch):
+    """1,000 pages without an id and 1,000 with one id: no file holds most of them, and every record has its own id."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(None, f"http://n/{i}", f"page {i % 700} " + "x" * 50) for i in range(1000)] + [(7, f"http://r/{i}", f"again {i % 600} " + "y" * 50) for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    scratch = Scratch(spark, "test")
+    warc.write_arc(pages, f"file://{tmp_path}/arc", scratch)
+    per_file = [sum(1 for _ in warc.parse_arc(warc._inflated(p.read_bytes()))) for p in (tmp_path / "arc").glob("part-*")]
+    assert sum(per_file) == 2000 and len(per_file) >= 5 and max(per_file) < 900
+    warc.convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc", scratch)
+    headers = [h for p in (tmp_path / "warc").glob("part-*") for h, _ in warc.parse_warc(warc._inflated(p.read_bytes()))]
+    ids = {h["warc-record-id"]: h for h in headers}
+    assert len(headers) == len(ids) == 2000
+    for h in headers:
+        if h["warc-type"] == "revisit":  # it names a response with the same payload
+            other = ids[h["warc-refers-to"]]
+            assert other["warc-type"] == "response" and other["warc-payload-digest"] == h["warc-payload-digest"]
+    kinds = [h["warc-type"] for h in headers if "http://r/" in h["warc-target-uri"]]
+    assert kinds == ["response"] * 1000  # rows of one page_id revisit none of their own
+    assert sum(h["warc-type"] == "revisit" for h in headers) == 300
+
+
+def test_pages_of_a_large_host_are_split(spark):
+    """Nine tenths of the pages on one host: the join with the blocked hosts is a skew join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pages = spark.range(60_000).selectExpr("id AS page_id", "concat('http://', IF(id % 10 < 9, 'big.example', concat('h', id % 500, '.net')), '/p', id) AS url").repartition(12)
+        outcomes = spark.range(60_000).where("id % 3 = 0").selectExpr("id AS page_id", "CAST(id % 10 < 9 AS INT) AS bad")
+        judged = url_filter.filter_urls(pages, outcomes)
+        got = {r["verdict"]: r["n"] for r in judged.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+        assert got == {"block": 54_000, "allow": 6_000}
+        judged.toArrow()
+        assert "skew=true" in judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -3,7 +3,7 @@
 An ARC file begins with a version block whose second line names the version and whose third names the fields of the
 record header lines; each record is such a line, then as many bytes as its last field declares, then a line end. The
 converter splits records by those lengths, parses the line by the version's fields, and writes WARC records with the
-same capture: the 14-digit date as ISO 8601, a record id made from the capture's key, the payload's SHA-1 in base 32,
+same capture: the 14-digit date as ISO 8601, a record id made from the capture's key and place, the payload's SHA-1 in base 32,
 and type response, or revisit where an earlier capture has the same payload.
 
 Files are written by Spark's text writer, a record a row, so they are committed and retried as any output and reach
@@ -49,10 +49,19 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: int) -> str:
-    """A version-8 UUID that holds a 64-bit key, so equal captures get equal ids and an id leads back to its capture."""
-    bits = key & 0xFFFFFFFFFFFFFFFF
-    return f"urn:uuid:{uuid.UUID(int=0xA3C << 116 | (bits >> 52) << 104 | 0x8 << 76 | ((bits >> 40) & 0xFFF) << 64 | 0x2 << 62 | (bits & 0xFFFFFFFFFF))}"
+def record_id(key: int, place: int = 0) -> str:
+    """A version-8 UUID that holds a capture's 64-bit key, so that it leads back to it, and 58 bits of the record's place.
+
+    Captures that share a key, as rows with one page_id do, so have different ids.
+    """
+    bits, other = key & 0xFFFFFFFFFFFFFFFF, place & 0x3FFFFFFFFFFFFFF
+    whole = (0xA3C ^ other >> 46) << 116 | (bits >> 52) << 104 | ((other >> 22) & 0xFFFFFF) << 80 | 0x8 << 76 | ((bits >> 40) & 0xFFF) << 64 | 0x2 << 62 | (other & 0x3FFFFF) << 40 | (bits & 0xFFFFFFFFFF)
+    return f"urn:uuid:{uuid.UUID(int=whole)}"
+
+
+def record_place(file: str, number: int) -> int:
+    """64 bits of a digest of the file's name and the record's number in it."""
+    return int.from_bytes(hashlib.sha256(f"{file.rpartition('/')[2]} {number}".encode()).digest()[:8], "big", signed=True)
 
 
 def record_key(name: str) -> int:
@@ -134,14 +143,14 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += size
 
 
-def warc_record(kind: str, key: int, url: str, date: str, head: bytes, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def warc_record(kind: str, own_id: str, url: str, date: str, head: bytes, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     block = head + payload if kind == "response" else head
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(key)}>", f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{own_id}>", f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{payload_digest(block)}", "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <{record_id(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {len(payload)}"]
+        lines += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Payload-Length: {len(payload)}"]
     return CRLF.join([*(x.encode() for x in lines), b"Content-Length: %d" % len(block), b"", block])
 
 
@@ -185,27 +194,29 @@ def write_arc(pages: DataFrame, path: str, scratch: Scratch) -> None:
             first = []
 
     rows = pages.selectExpr("cast(page_id AS long) AS page_id", "cast(url AS string) AS url", "cast(html AS string) AS html")
-    rows = rows.repartition(_files(rows), "page_id").mapInArrow(records, "record binary").select(F.col("record").cast("string"))
+    # Not by page_id alone: rows without one, or that repeat one, would meet in one file.
+    rows = rows.repartition(_files(rows), F.xxhash64("page_id", F.monotonically_increasing_id())).mapInArrow(records, "record binary").select(F.col("record").cast("string"))
     scratch.write(rows.write.option("compression", "gzip").option("lineSep", "\n"), path, "text")
 
 
 def read_arc(spark, path: str, with_payload: bool) -> DataFrame:
-    """(key, page, url, date, digest, size) of each record under path, with its head and payload if wanted.
+    """(key, page, place, url, date, digest, size) of each record under path, with its head and payload if wanted.
 
-    page is the id from the block's X-Page-Id, else null; key is it, else 64 bits of a digest of URL, date and block.
+    page is the id from the block's X-Page-Id, else null; key is it, else 64 bits of a digest of URL, date and block. place
+    tells records apart by where they stand.
     """
-    schema = "key long, page long, url string, date string, digest string, size long" + ", head binary, payload binary" * with_payload
+    schema = "key long, page long, place long, url string, date string, digest string, size long" + ", head binary, payload binary" * with_payload
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content"):
-                columns = [[] for _ in range(6 + 2 * with_payload)]
+            for file, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                columns = [[] for _ in names]
                 held = 0
-                for f, block in parse_arc(_inflated(data.as_py())):
+                for number, (f, block) in enumerate(parse_arc(_inflated(data.as_py()))):
                     head, payload = split_http(block)
                     page = _PAGE.search(head)
                     key = int(page[1]) if page else int.from_bytes(hashlib.sha256(f"{f['URL']} {f['Archive-date']} ".encode() + block).digest()[:8], "big", signed=True)
-                    row = (key, int(page[1]) if page else None, f["URL"], f["Archive-date"], payload_digest(payload), len(payload), head, payload)
+                    row = (key, int(page[1]) if page else None, record_place(file, number), f["URL"], f["Archive-date"], payload_digest(payload), len(payload), head, payload)
                     for c, v in zip(columns, row, strict=False):
                         c.append(v)
                     held += len(block) if with_payload else 64
@@ -214,33 +225,33 @@ def read_arc(spark, path: str, with_payload: bool) -> DataFrame:
                         columns, held = [[] for _ in columns], 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    names = ["key", "page", "url", "date", "digest", "size", "head", "payload"][: 6 + 2 * with_payload]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()][: len(names)]
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, schema)
+    names = ["key", "page", "place", "url", "date", "digest", "size", "head", "payload"][: 7 + 2 * with_payload]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()][: len(names)]
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(records, schema)
 
 
 def convert_arc(spark, arc: str, warc: str, scratch: Scratch, least_revisit: int = LEAST_REVISIT) -> None:
     """Converts the ARC files under arc to gzipped WARC files under warc, a record for each record.
 
     Of captures whose payloads of least_revisit bytes or more are equal, the one with the smallest page id (without any,
-    the smallest key) is a response and the others revisit it. Keys of copies are found first from digests alone, and payloads are read again only to
+    the smallest key) is a response and the others revisit it. Every record has an id of its own. Keys of copies are found first from digests alone, and payloads are read again only to
     be written: they are not shuffled unless the table of copies is too large to send to the tasks.
     """
     seen = read_arc(spark, arc, False).where(F.col("size") >= least_revisit)
-    firsts = seen.groupBy("digest", "size").agg(F.coalesce(F.min("page"), F.min("key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "first")
+    firsts = seen.groupBy("digest", "size").agg(F.min(F.struct(F.col("page").isNull(), "key", "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "size", F.col("f.key").alias("first"), F.col("f.place").alias("first_place"))
     firsts = scratch.keep(firsts)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "url", "date", "head", "payload", "digest", "first")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "place", "url", "date", "head", "payload", "digest", "first", "first_place")), strict=True)
             out = []
-            for key, url, date, head, payload, digest, first in rows:
+            for key, place, url, date, head, payload, digest, first, first_place in rows:
                 revisit = first is not None and first != key
-                out.append(warc_record("revisit" if revisit else "response", key, url, date, head, payload, digest, first if revisit else None))
+                out.append(warc_record("revisit" if revisit else "response", record_id(key, place), url, date, head, payload, digest, record_id(first, first_place) if revisit else None))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     rows = read_arc(spark, arc, True).join(firsts, ["digest", "size"], "left")
-    rows = rows.select("key", "url", "date", "head", "payload", "digest", "first").mapInArrow(records, "record binary").select(F.col("record").cast("string"))
+    rows = rows.select("key", "place", "url", "date", "head", "payload", "digest", "first", "first_place").mapInArrow(records, "record binary").select(F.col("record").cast("string"))
     scratch.write(rows.write.option("compression", "gzip").option("lineSep", "\r\n\r\n"), warc, "text")
 
 
