@@ -66,16 +66,15 @@ def test_blocks_below_the_threshold_are_not_scored(monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], ["doc_id", "text"])
-    blocks = list(block_max._blocks(iter([batch])))
-    n, terms = sum(b.column("n_docs")[0].as_py() for b in blocks), sum(b.column("n_terms")[0].as_py() for b in blocks)
-    rows = [b.append_column("block_id", pa.array([i])) for i, b in enumerate(blocks)]
-    index = list(block_max._with_impacts(iter(rows), n, terms))
+    n, terms = next(block_max._count_terms(iter([batch]))).to_pylist()[0].values()
+    blocks = list(block_max._blocks(iter([batch]), n, terms))
+    index = [b.append_column("block_id", pa.array([i])) for i, b in enumerate(blocks)]
     queries = block_max._Round([{"item_id": 1, "terms": next(iter(block_max.term_lists([b"rare common"]))).tobytes()}])
     queries.weights[:] = [5, 5]
     opened = []
     score = block_max._Forward.score
     monkeypatch.setattr(block_max._Forward, "score", lambda self, q, i: opened.append(self.ids[0]) or score(self, q, i))
-    found = next(block_max._search(iter(index), queries, 10))
+    found = next(block_max._search(iter(index), queries, (n, terms), 10))
     assert opened == [30] and found.column("doc_id").to_pylist() == list(range(30, 40))
 
 

@@ -1,8 +1,8 @@
 """Ranked lexical search with block-max pruning.
 
-Documents are indexed in blocks of neighbouring rows. A block has a forward index (for each document the terms it holds,
-as numbers within the block, with their impacts) and a head (its terms, the number of its documents with each, and each
-term's greatest impact). The impact is the part of a score that does not depend on the query, so the sum of weight times
+Documents are indexed in blocks of neighbouring rows. A block has a forward index (for each document its length and the
+terms it holds, as numbers within the block, with their occurrences) and a head (its terms, the number of its documents
+with each, and each term's greatest impact). The impact is the part of a score that does not depend on the query, so the sum of weight times
 greatest impact over a query's terms bounds the score of every document of the block, in whole numbers. A search reads
 the heads, scores each query's most promising block, and takes the score of the k-th best document there as threshold.
 Then every task sorts its blocks by a query's bound and scores their forward indexes until the bound drops below the
@@ -21,20 +21,19 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.terms import term_lists
+from tidemark.llm.terms import term_counts, term_lists
 
 #: A block ends after so many documents or so many terms, repeats included.
 BLOCK_DOCS, BLOCK_TERMS = 64, 1 << 16
 #: Queries are searched together until they have so many terms; the driver holds one such round at a time.
 ROUND_TERMS = 1 << 18
-#: Blocks of the index that a task holds at a time.
-HELD_BYTES = 32 << 20
+#: Bytes of blocks that a task holds at a time; it reads so many blocks from a file at once.
+HELD_BYTES, READ_BLOCKS = 32 << 20, 64
 # Documents a query; a score's unit, the part of a document's length in it in percent, and its factors.
 MOST = 10
 UNIT, LENGTH_PERCENT, TF_FACTOR, LENGTH_FACTOR = 1_000_000_000, 90, 1000, 8
 
-_POSTINGS = "doc_ids array<long>, sizes binary, ends binary, local binary, tf binary, terms binary, dfs binary, n_docs long, n_terms long"
-_INDEX = "block_id long, doc_ids array<long>, ends binary, local binary, impacts binary, terms binary, dfs binary, maxima binary"
+_INDEX = "doc_ids array<long>, sizes binary, ends binary, local binary, tf binary, terms binary, dfs binary, maxima binary"
 _FOUND = "query int, item_id long, score long, doc_id long"
 
 
@@ -48,7 +47,25 @@ def weight(df: int, docs: int) -> int:
     return math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1)))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _narrow(x: np.ndarray) -> bytes:
+    """x in the narrowest of three types, which _wide tells apart by the number of values."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = terms = 0
+    for batch in batches:
+        for n in term_counts(batch.column("text").cast(pa.binary()).to_pylist()):
+            docs, terms = docs + (n > 0), terms + n
+    yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([terms], pa.int64())], ["docs", "terms"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int) -> Iterator[pa.RecordBatch]:
     """Blocks of the documents with terms, in the order of the rows."""
     ids: list[int | None] = []
     lists: list[np.ndarray] = []
@@ -58,9 +75,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, local = np.unique(np.concatenate(lists), return_inverse=True)
         places, tf = np.unique(np.repeat(np.arange(len(lists)), sizes) * len(terms) + local, return_counts=True)
         doc, local = np.divmod(places, len(terms))
-        raw = [sizes, np.cumsum(np.bincount(doc, minlength=len(lists))), local.astype(np.int32), tf.astype(np.int32), terms, np.bincount(local, minlength=len(terms)).astype(np.int32)]
-        columns = [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in raw), pa.array([len(ids)], pa.int64()), pa.array([int(sizes.sum())], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _POSTINGS.split(", ")])
+        maxima = np.zeros(len(terms), np.int64)
+        np.maximum.at(maxima, local, impacts(tf, sizes[doc], n_docs, n_terms))
+        ends = np.cumsum(np.bincount(doc, minlength=len(lists)))
+        raw = [sizes.tobytes(), ends.tobytes(), _narrow(local), _narrow(tf), terms.tobytes(), _narrow(np.bincount(local)), _narrow(maxima)]
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in raw)], [c.split()[0] for c in _INDEX.split(", ")])
 
     held = 0
     for batch in batches:
@@ -76,22 +95,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _with_impacts(batches: Iterator[pa.RecordBatch], docs: int, terms: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        all_impacts, maxima = [], []
-        for sizes, ends, local, tf in zip(*(batch.column(c).to_pylist() for c in ("sizes", "ends", "local", "tf")), strict=True):
-            n = np.repeat(np.frombuffer(sizes, np.int64), np.diff(np.frombuffer(ends, np.int64), prepend=0))
-            own = impacts(np.frombuffer(tf, np.int32).astype(np.int64), n, docs, terms).astype(np.int32)
-            place = np.frombuffer(local, np.int32)
-            most = np.zeros(int(place.max()) + 1, np.int32)
-            np.maximum.at(most, place, own)
-            all_impacts.append(own.tobytes())
-            maxima.append(most.tobytes())
-        kept = [batch.column(c) for c in ("block_id", "doc_ids", "ends", "local")]
-        columns = [*kept, pa.array(all_impacts, pa.binary()), batch.column("terms"), batch.column("dfs"), pa.array(maxima, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _INDEX.split(", ")])
-
-
 @dataclass(frozen=True)
 class Index:
     """Blocks with heads and forward indexes; docs and terms: the documents with a term, and all their terms."""
@@ -108,12 +111,11 @@ def build_index(docs: DataFrame, scratch: Scratch | None = None) -> Index:
     """
     scratch = scratch or Scratch(docs.sparkSession, "search")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = scratch.keep(rows.mapInArrow(_blocks, _POSTINGS).withColumn("block_id", F.monotonically_increasing_id()))
-    n, terms = first.agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    n, terms = rows.select("text").mapInArrow(_count_terms, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     n, terms = n or 0, terms or 0
-    blocks = scratch.keep(first.mapInArrow(lambda it: _with_impacts(it, n, terms), _INDEX))
-    scratch.drop(first)
-    return Index(blocks, n, terms)
+    blocks = rows.mapInArrow(lambda it: _blocks(it, n, terms), _INDEX).withColumn("block_id", F.monotonically_increasing_id())
+    # Rows are large, so few of them are read at a time.
+    return Index(scratch.keep(blocks, settings={"spark.sql.parquet.columnarReaderBatchSize": str(READ_BLOCKS)}), n, terms)
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ class _Round:
     def bounds(self, terms: bytes, maxima: bytes) -> np.ndarray:
         """The most that a document of the block can score, for each query."""
         has, at = self.places(terms)
-        most = np.where(has, np.frombuffer(maxima, np.int32)[at], 0) * self.weights
+        most = np.where(has, _wide(maxima, len(terms) // 8)[at], 0) * self.weights
         return np.add.reduceat(most[self.flat], self.starts[:-1])
 
 
@@ -153,7 +155,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], queries: _Round) -> Iterator
     for batch in batches:
         for terms, dfs in zip(batch.column("terms").to_pylist(), batch.column("dfs").to_pylist(), strict=True):
             has, at = queries.places(terms)
-            df += np.where(has, np.frombuffer(dfs, np.int32)[at], 0)
+            df += np.where(has, _wide(dfs, len(terms) // 8)[at], 0)
     seen = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(df[seen])], ["term", "df"])
 
@@ -198,12 +200,14 @@ class _Best:
 class _Forward:
     """A block's forward index, unpacked when it is first scored."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, index: tuple[int, int]):
         ids = row["doc_ids"]
         self.no_id = np.array([i is None for i in ids])
         self.ids = np.array([i or 0 for i in ids], np.int64)
-        self.starts = np.concatenate([[0], np.frombuffer(row["ends"], np.int64)[:-1]])
-        self.local, self.impacts = np.frombuffer(row["local"], np.int32), np.frombuffer(row["impacts"], np.int32).astype(np.int64)
+        ends = np.frombuffer(row["ends"], np.int64)
+        self.starts = np.concatenate([[0], ends[:-1]])
+        self.local, tf = _wide(row["local"], int(ends[-1])), _wide(row["tf"], int(ends[-1]))
+        self.impacts = impacts(tf, np.repeat(np.frombuffer(row["sizes"], np.int64), ends - self.starts), *index)
         self.terms = row["terms"]
 
     def score(self, queries: _Round, q: int) -> np.ndarray:
@@ -216,7 +220,7 @@ class _Forward:
         return np.add.reduceat(weights[self.local] * self.impacts, self.starts)
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries: _Round, k: int, only: dict[int, list[int]] | None = None) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], queries: _Round, index: tuple[int, int], k: int, only: dict[int, list[int]] | None = None) -> Iterator[pa.RecordBatch]:
     """The best documents of this task; with only, of the queries named there for each block."""
     best, held, size = _Best(queries, k), [], 0
 
@@ -232,13 +236,13 @@ def _search(batches: Iterator[pa.RecordBatch], queries: _Round, k: int, only: di
             for i in np.argsort(-bounds[:, q], kind="stable").tolist():
                 if bounds[i, q] < best.least[q]:
                     break
-                block = opened.get(i) or opened.setdefault(i, _Forward(held[i]))
+                block = opened.get(i) or opened.setdefault(i, _Forward(held[i], index))
                 best.add(q, block.score(queries, q), block.ids, block.no_id)
 
     for batch in batches:
         for i in range(batch.num_rows):
             held.append(batch.slice(i, 1).to_pylist()[0])
-            size += sum(len(held[-1][c]) for c in ("local", "impacts", "terms", "maxima"))
+            size += sum(len(held[-1][c]) for c in ("local", "tf", "terms", "maxima"))
             if size >= HELD_BYTES:
                 scored()
                 held, size = [], 0
@@ -277,6 +281,7 @@ def search(index: Index, items: DataFrame, k: int = MOST, scratch: Scratch | Non
     out = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     if not index.docs:
         return out
+    sizes = index.docs, index.terms
     for queries in _rounds(rows.toLocalIterator()):
         # A round's terms, documents with each, best blocks and thresholds are all that the driver holds.
         df = index.blocks.select("terms", "dfs").mapInArrow(lambda it, r=queries: _frequencies(it, r), "term int, df long")
@@ -286,10 +291,10 @@ def search(index: Index, items: DataFrame, k: int = MOST, scratch: Scratch | Non
         only: dict[int, list[int]] = {}
         for q, block in heads.groupBy("query").agg(F.max_by("block_id", F.struct("bound", "block_id"))).collect():
             only.setdefault(block, []).append(q)
-        first = spark.createDataFrame([(b,) for b in only], "block_id long")
-        seeds = index.blocks.join(F.broadcast(first), "block_id").mapInArrow(lambda it, r=queries, o=only: _search(it, r, k, o), _FOUND)
+        first = index.blocks.sparkSession.createDataFrame([(b,) for b in only], "block_id long")
+        seeds = index.blocks.join(F.broadcast(first), "block_id").mapInArrow(lambda it, r=queries, o=only: _search(it, r, sizes, k, o), _FOUND)
         for q, least in _best_of(seeds, k).where(F.col("rank") == k).select("query", "score").collect():
             queries.least[q] = least
-        found = index.blocks.mapInArrow(lambda it, r=queries: _search(it, r, k), _FOUND)
-        out = out.union(scratch.keep(_best_of(found, k).select("item_id", "rank", "doc_id", "score")))
+        found = index.blocks.mapInArrow(lambda it, r=queries: _search(it, r, sizes, k), _FOUND)
+        out = out.union(scratch.keep(_best_of(found, k).select("item_id", "rank", "doc_id", "score"), session=spark))
     return out

@@ -50,6 +50,15 @@ def ship(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+def beside(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A new session with the settings of spark and these."""
+    out = spark.newSession()
+    for k, v in (spark.conf.getAll | settings).items():
+        if spark.conf.isModifiable(k):
+            out.conf.set(k, v)
+    return out
+
+
 def fence(df: DataFrame) -> DataFrame:
     """df behind a column that differs from run to run, through which the optimizer pushes no predicate.
 
@@ -89,24 +98,27 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, by: str | None = None, settings: dict[str, str] | None = None, session: SparkSession | None = None) -> DataFrame:
+        """df written and read again, in a session of its own with further settings or in the one given."""
         self._n += 1
         path = self.path(f"t{self._n}")
         self.write(df.write.partitionBy(by) if by else df.write, path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        reader = beside(self.spark, settings) if settings else session or self.spark
+        out = reader.read.schema(df.schema).parquet(path)
         self._of[id(out)] = (path, out)
         return out
 
     def write(self, writer: DataFrameWriter, path: str, kind: str = "parquet") -> None:
         """Writes under WRITING, then puts the session's settings back."""
-        before = {k: self.spark.conf.get(k) for k in WRITING}
+        conf = writer._spark.conf
+        before = {k: conf.get(k) for k in WRITING}
         try:
             for k, v in WRITING.items():
-                self.spark.conf.set(k, v)
+                conf.set(k, v)
             writer.format(kind).save(path)
         finally:
             for k, v in before.items():
-                self.spark.conf.set(k, v)
+                conf.set(k, v)
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:

@@ -37,3 +37,9 @@ def term_lists(texts: Iterable[bytes | None], heads: tuple[int, ...] = ()) -> It
             run, size = [], 0
     if run:
         yield from _run(run, heads)
+
+
+def term_counts(texts: Iterable[bytes | None]) -> Iterator[int]:
+    """How many terms each text has, repeats included."""
+    for t in texts:
+        yield int(np.count_nonzero(np.diff(_TERM[np.frombuffer(t, np.uint8)], prepend=False, append=False))) // 2 if t else 0
