@@ -13,7 +13,7 @@ from tidemark.functions import cut_round, label_segment, months_apart, ratio, su
 from tidemark.operators import tables
 from tidemark.plans import materialise, quality
 from tidemark.plans.models import MODELS, Models, appointment_facts
-from tidemark.sources import files
+from tidemark.sources import files, seeds
 from tidemark.streaming import upserts
 
 
@@ -244,3 +244,32 @@ def test_event_time_counts(spark, small, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == events.count()
+
+
+def test_sources_have_their_own_limits(m):
+    """Small reference tables are not checked, and limits can differ by source."""
+    now = F.lit(ts("2024-04-03")).cast("timestamp_ntz")
+    got = {r["source"]: r["state"] for r in tables.source_freshness(m.raw, now, limits={"raw_payments": (24 * 20, 24 * 40), "raw_leads": (24, 100)}).collect()}
+    assert got == {"patients": "error", "doctors": "error", "appointments": "error", "payments": "warn", "leads": "warn"}
+
+
+def test_load_keeps_rejected_rows(spark, tmp_path):
+    """Loaded and rejected rows are those of the file, with what is wrong in each."""
+    text = "payment_id,appointment_id,patient_id,doctor_id,payment_created_at,updated_at,amount_cents,currency,payment_status,payment_method\n"
+    good = "P1,A1,T1,D1,2024-01-01 10:00:00,2024-01-01 10:00:00,100,EUR,paid,card\n"
+    (tmp_path / "payments.csv").write_text(text + good + good.replace("P1", "P2").replace("100", "1O0") + good.replace("P1", "").replace("2024-01-01 10:00:00", "soon", 1))
+    (tmp_path / "leads.csv").write_text("lead_id,patient_id,doctor_id,specialty_id,country_id,created_at,lead_source,lead_status,converted_appointment_id\nL1,,,S1,ES,2024-01-01 00:00:00,seo,new,\n")
+    try:
+        assert files.load_raw(spark, f"file://{tmp_path}", "loaded") == {"payments": (1, 2), "leads": (1, 0)}
+        rows = {json.loads(r["row"]).get("payment_id"): sorted((f["column"], f["reason"]) for f in r["faults"]) for r in spark.table("loaded.payments_rejected").collect()}
+        assert rows == {"P2": [("amount_cents", "type")], None: [("payment_created_at", "type"), ("payment_id", "required")]}
+        assert spark.table("loaded.payments").first()["amount_cents"] == 100
+        assert files.load_raw(spark, f"file://{tmp_path}", "loaded")["payments"] == (1, 2)  # replaced, not added
+    finally:
+        spark.sql("DROP DATABASE IF EXISTS loaded CASCADE")
+
+
+def test_seeds(spark, tmp_path):
+    paths = seeds.load_seeds(spark, f"file://{tmp_path}")
+    rows = {r["country_id"]: r for r in spark.read.parquet(paths["country_region_mapping"]).collect()}
+    assert len(rows) == 8 and rows["MX"]["timezone"] == "America/Mexico_City" and rows["DE"]["language"] == "de"

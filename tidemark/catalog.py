@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import aggregates, analytics, kept, relational, sketches  # noqa: F401  they register their queries
+from tidemark.operators import aggregates, analytics, kept, layout, maintained, relational, sketches  # noqa: F401  they register their queries
 from tidemark.operators.registry import QUERIES
 from tidemark.oracle import complete
 from tidemark.oracle.queries import QUERY_SQL

@@ -9,7 +9,6 @@ from tidemark.functions import count_where, cut_round, euros, euros_each, month_
 from tidemark.operators.ranking import tile, with_places
 from tidemark.operators.registry import query
 from tidemark.operators.relational import DONE, PAID, _next_visit
-from tidemark.operators.tables import partition_sizes
 from tidemark.plans.models import Models
 
 
@@ -258,9 +257,3 @@ def bi_month_labels(m: Models) -> DataFrame:
 def kpi_last_7_days(m: Models) -> DataFrame:
     """The latest seven days of the daily figures."""
     return m.agg_daily_business_kpis.select("date", "total_appointments", "total_leads", "completion_rate", "cumulative_appointments").orderBy(F.desc("date")).limit(7)
-
-
-@query
-def partition_rows(m: Models) -> DataFrame:
-    """Rows of the fact table by month, as its layout keeps them."""
-    return partition_sizes(m.fct_appointments, "appointment_date")

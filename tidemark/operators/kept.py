@@ -9,7 +9,7 @@ from tidemark.operators.registry import query
 from tidemark.operators.tables import contract_violations, first_versions, merged, newer, next_versions
 from tidemark.plans.contracts import CONTRACTS, contract
 from tidemark.plans.models import Models, appointment_facts
-from tidemark.plans.quality import TESTS, failures
+from tidemark.plans.quality import TESTS, check_raw, failures
 
 _MARK = "1999-01-01"
 
@@ -60,6 +60,13 @@ def contract_core(m: Models) -> DataFrame:
     return m.spark.createDataFrame([(n, len(contract_violations(getattr(m, n), contract(n)))) for n in CONTRACTS], "model string, violations long")
 
 
+@query
+def dq_raw_checks(m: Models) -> DataFrame:
+    """The checks of the raw tables; a table has to have as many rows as the one it is made of."""
+    rows = {"specialties": 25, "doctors": m.raw.supplier, "patients": m.raw.customer, "appointments": m.raw.orders}
+    return check_raw(m.raw, rows).drop("sample")
+
+
 def _test(name: str):
     def run(m: Models) -> DataFrame:
         """Failing rows of the tests of this kind, one row a test so that none failing compares as well."""

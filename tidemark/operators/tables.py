@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +31,14 @@ def merged(target: DataFrame, delta: DataFrame, key: Sequence[str]) -> DataFrame
     return target.join(delta.select(*key), list(key), "left_anti").unionByName(delta, allowMissingColumns=True)
 
 
-def write_partitioned(df: DataFrame, path: str, day: str, cluster: Sequence[str], mode: str = "overwrite") -> None:
+def write_partitioned(df: DataFrame, path: str, day: str, cluster: Sequence[str], mode: str = "overwrite", watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Parquet by month of day, rows of a file in order of the cluster columns, so row groups can be skipped.
 
-    Tasks take ranges of month and cluster columns, so that a large month is the work of several.
+    Tasks take ranges of month and cluster columns, so that a large month is the work of several. watch is applied to the
+    rows as they are written.
     """
     month = f"{day}_month"
-    df.withColumn(month, month_of(day)).repartitionByRange(month, *cluster).sortWithinPartitions(month, *cluster).write.mode(mode).partitionBy(month).parquet(path)
+    watch(df.withColumn(month, month_of(day)).repartitionByRange(month, *cluster).sortWithinPartitions(month, *cluster)).write.mode(mode).partitionBy(month).parquet(path)
 
 
 def read_days(spark: SparkSession, path: str, day: str, low: dt.date, high: dt.date) -> DataFrame:
@@ -114,6 +117,20 @@ def freshness(df: DataFrame, loaded_at: str, now: Column, warn_hours: int = 24,
     return rows.withColumn("state", state)
 
 
+# The column that tells when each raw table was loaded; tables without one are not checked.
+LOADED_AT = {"raw_patients": "created_at", "raw_doctors": "created_at", "raw_appointments": "updated_at", "raw_payments": "updated_at", "raw_leads": "created_at", "raw_specialties": None, "raw_countries": None}
+
+
+def source_freshness(raw, now: Column, loaded_at: Mapping[str, str | None] = LOADED_AT, limits: Mapping[str, tuple[int, int]] = {}) -> DataFrame:
+    """(source, last_loaded, age_hours, state) of each raw table that is checked; limits: its own hours to warn and fail."""
+    parts = []
+    for table, column in loaded_at.items():
+        if column:
+            rows = getattr(raw, table).select(F.col(column).cast("timestamp_ntz").alias("at"))
+            parts.append(freshness(rows, "at", now, *limits.get(table, ())).withColumn("source", F.lit(table.removeprefix("raw_"))))
+    return reduce(DataFrame.unionByName, parts).select("source", "last_loaded", "age_hours", "state")
+
+
 def partition_sizes(df: DataFrame, day: str) -> DataFrame:
     """Rows by month."""
     return df.groupBy(month_of(day).alias("month")).agg(F.count("*").alias("n_rows"))
@@ -123,3 +140,23 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes) of a table's files."""
     meta = F.col("_metadata")
     return spark.read.parquet(path).select(meta["file_path"].alias("file"), meta["file_size"].alias("bytes")).distinct()
+
+
+def footer_rows(spark: SparkSession, path: str, month: str) -> DataFrame:
+    """(month, n_rows) of a table by month from the footers of its files: no column is read.
+
+    The count is pushed down to a reader of the second generation, in a session of its own so that no setting changes.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).groupBy(F.col(month).alias("month")).agg(F.count("*").alias("n_rows"))
+
+
+def table_statistics(spark: SparkSession, table: str) -> tuple[int, int]:
+    """(bytes, rows) of a catalogue table as ANALYZE TABLE last counted them, without a scan."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Statistics'").select("data_type").collect()
+    found = re.fullmatch(r"(\d+) bytes(?:, (\d+) rows)?", rows[0][0]) if rows else None
+    if not found or found[2] is None:
+        raise ValueError(f"{table} has no statistics; run ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return int(found[1]), int(found[2])

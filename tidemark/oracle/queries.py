@@ -34,7 +34,34 @@ def _since(unit: str) -> str:
 _SPANS = "(SELECT {0} AS month, {1} FROM {2} GROUP BY 1 UNION ALL SELECT NULL, {1} FROM {2})"
 _ACTIVE = f"SELECT DISTINCT channel, patient_id FROM fct_appointments WHERE {DONE}"
 
+_STAR = f"SELECT a.appointment_id, a.appointment_date, d.full_name, s.specialty_name, c.country_name, {eur('y.amount_cents')} AS amount_eur FROM fct_appointments a JOIN fct_payments y ON a.appointment_id = y.appointment_id AND y.{PAID} JOIN dim_doctors d ON a.doctor_id = d.doctor_id JOIN dim_specialties s ON d.specialty_id = s.specialty_id JOIN dim_countries c ON d.country_id = c.country_id"
+
+
+
+def _raw_checks() -> str:
+    twice = lambda t, c: f"SELECT {c} FROM raw_{t} GROUP BY 1 HAVING count(*) > 1"
+    lost = lambda t, c, to: f"SELECT 1 FROM raw_{t} x WHERE NOT EXISTS (SELECT 1 FROM raw_{to} y WHERE y.{c} = x.{c})"
+    other = lambda t, c, values: f"SELECT DISTINCT lower({c}) FROM raw_{t} WHERE lower({c}) NOT IN {values}"
+    size = lambda t, n: f"SELECT 1 FROM (SELECT count(*) AS n FROM raw_{t}) WHERE n <> {n}"
+    checks = {
+        "pk_specialties_unique": twice("specialties", "specialty_id"), "pk_doctors_unique": twice("doctors", "doctor_id"), "pk_patients_unique": twice("patients", "patient_id"),
+        "pk_appointments_unique": twice("appointments", "appointment_id"), "pk_payments_unique": twice("payments", "payment_id"),
+        "fk_appointments_patient": lost("appointments", "patient_id", "patients"), "fk_appointments_doctor": lost("appointments", "doctor_id", "doctors"), "fk_payments_appointment": lost("payments", "appointment_id", "appointments"),
+        "payments_only_for_completed": "SELECT 1 FROM raw_payments p JOIN raw_appointments a USING (appointment_id) WHERE lower(a.status) <> 'completed'",
+        "appointment_status_values": other("appointments", "status", "('completed', 'cancelled', 'no_show', 'scheduled')"), "payment_status_values": other("payments", "payment_status", "('paid', 'refunded', 'failed', 'pending')"),
+        "lead_status_values": other("leads", "lead_status", "('new', 'contacted', 'lost', 'converted')"), "payment_amount_positive": "SELECT 1 FROM raw_payments WHERE amount_cents <= 0",
+        "appointment_created_before_start": "SELECT 1 FROM raw_appointments WHERE appointment_created_at >= appointment_start_at",
+        "row_count_specialties": size("specialties", 25), "row_count_doctors": size("doctors", "(SELECT count(*) FROM supplier)"), "row_count_patients": size("patients", "(SELECT count(*) FROM customer)"), "row_count_appointments": size("appointments", "(SELECT count(*) FROM orders)"),
+    }
+    counts = " UNION ALL ".join(f"SELECT '{name}' AS check_name, (SELECT count(*) FROM ({sql})) AS n" for name, sql in checks.items())
+    return f"""SELECT check_name AS "check", n AS failing_rows, CASE WHEN n = 0 THEN 'pass' ELSE 'error' END AS state FROM ({counts})"""
+
+
 QUERY_SQL = {
+    "dq_raw_checks": _raw_checks(),
+    "dynamic_month_filter": f"SELECT {M} AS month, channel, count(*) AS visits FROM fct_appointments WHERE {M} IN (SELECT {PM} FROM fct_payments WHERE {PAID} GROUP BY 1 QUALIFY count(*) = max(count(*)) OVER ()) GROUP BY 1, 2",
+    "maintained_daily_kpis": "SELECT * FROM agg_daily_business_kpis",
+    "maintained_country_kpis": "SELECT * FROM agg_monthly_country_kpis",
     "sketched_patients": "SELECT month, patients, TRUE AS close FROM " + _SPANS.format(M, "count(DISTINCT patient_id) AS patients", "fct_appointments"),
     "sketched_amounts": "SELECT month, payments, TRUE AS n_equal, TRUE AS q1_close, TRUE AS median_close, TRUE AS q3_close FROM " + _SPANS.format(PM, "count(*) AS payments", f"(SELECT * FROM fct_payments WHERE {PAID})"),
     "sketched_retention": "SELECT cohort_month, months_since_acquisition, retained_patients, TRUE AS close FROM mart_patient_retention",
@@ -45,7 +72,8 @@ QUERY_SQL = {
     "anchored_recency": "SELECT channel, count(*) AS visits, min(appointment_date) AS first_date FROM fct_appointments WHERE appointment_date >= (SELECT max(appointment_date) FROM fct_appointments) - 90 GROUP BY 1",
     "except_columns": "SELECT * EXCLUDE (lead_created_at, appointment_created_at, payment_created_at) FROM fct_leads",
     "boolean_flags": "SELECT lead_id, days_lead_to_appointment <= 90 AS within_90, amount_cents IS NULL OR payment_status NOT IN ('failed') AS not_failed FROM fct_leads",
-    "join_inner_star": f"SELECT a.appointment_id, a.appointment_date, d.full_name, s.specialty_name, c.country_name, {eur('y.amount_cents')} AS amount_eur FROM fct_appointments a JOIN fct_payments y ON a.appointment_id = y.appointment_id AND y.{PAID} JOIN dim_doctors d ON a.doctor_id = d.doctor_id JOIN dim_specialties s ON d.specialty_id = s.specialty_id JOIN dim_countries c ON d.country_id = c.country_id",
+    "join_inner_star": _STAR,
+    "bucketed_star": _STAR,
     "join_left_on_predicate": f"SELECT d.doctor_id, d.full_name, count(a.appointment_id) AS completed FROM dim_doctors d LEFT JOIN fct_appointments a ON a.doctor_id = d.doctor_id AND a.{DONE} GROUP BY 1, 2",
     "join_left_chain": "SELECT s.specialty_group, p.country_id AS patient_country, count(*) AS visits FROM stg_appointments a LEFT JOIN stg_doctors d ON a.doctor_id = d.doctor_id LEFT JOIN stg_patients p ON a.patient_id = p.patient_id LEFT JOIN stg_specialties s ON d.specialty_id = s.specialty_id GROUP BY 1, 2",
     "join_full_daily": "SELECT date, coalesce(visits, 0) AS visits, coalesce(payments, 0) AS payments FROM (SELECT appointment_date AS date, count(*) AS visits FROM fct_appointments GROUP BY 1) a FULL JOIN (SELECT payment_date AS date, count(*) AS payments FROM fct_payments GROUP BY 1) y USING (date)",

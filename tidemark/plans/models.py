@@ -264,8 +264,13 @@ def mart_appointment_quality(m: Models) -> DataFrame:
 # Executive.
 
 
-@model
-def agg_daily_business_kpis(m: Models) -> DataFrame:
+DAILY_SUMS = (
+    "total_appointments", "completed_appointments", "no_show_appointments", "new_patient_appointments", "_cents", "paid_payments", "refunded_payments", "total_leads", "converted_leads",
+)
+
+
+def daily_sums(m: Models) -> DataFrame:
+    """(date, DAILY_SUMS); a sum is null on days without a fact of its kind."""
     visits = m.fct_appointments.groupBy(F.col("appointment_date").alias("date")).agg(
         F.count("*").alias("total_appointments"), *_status_counts("completed", "no_show"), count_where(F.col("is_first_appointment")).alias("new_patient_appointments")
     )
@@ -274,7 +279,12 @@ def agg_daily_business_kpis(m: Models) -> DataFrame:
         sum_where(paid, F.col("amount_cents")).alias("_cents"), count_where(paid).alias("paid_payments"), count_where(F.col("payment_status") == "refunded").alias("refunded_payments")
     )
     leads = m.fct_leads.groupBy(F.col("lead_date").alias("date")).agg(F.count("*").alias("total_leads"), count_where(F.col("is_converted_to_appointment")).alias("converted_leads"))
-    days = visits.join(payments, "date", "full").join(leads, "date", "full").na.fill(0)
+    return visits.join(payments, "date", "full").join(leads, "date", "full")
+
+
+def daily_kpis(days: DataFrame) -> DataFrame:
+    """Figures of each day with a visit, from its sums."""
+    days = days.na.fill(0)
     # One row a day: the windows see the aggregate only. Days without visits count before they go.
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     days = days.withColumns({
@@ -284,6 +294,11 @@ def agg_daily_business_kpis(m: Models) -> DataFrame:
     return days.where("total_appointments > 0").drop("_cents")
 
 
+@model
+def agg_daily_business_kpis(m: Models) -> DataFrame:
+    return daily_kpis(daily_sums(m))
+
+
 def _monthly(m: Models, key: str) -> DataFrame:
     return m.fct_appointments.groupBy(month_of("appointment_date").alias("month"), key).agg(
         F.count("*").alias("total_appointments"), *_status_counts("completed", "no_show"), F.count_distinct("patient_id").alias("unique_patients"), F.count_distinct("doctor_id").alias("active_doctors"),
@@ -295,8 +310,12 @@ def _monthly(m: Models, key: str) -> DataFrame:
 def agg_monthly_country_kpis(m: Models) -> DataFrame:
     """Revenue is that of payments by their own date and doctor."""
     paid = m.fct_payments.where("payment_status = 'paid'").groupBy(month_of("payment_date").alias("month"), "country_id").agg(F.sum("amount_cents").alias("_cents"))
-    out = _monthly(m, "country_id").drop("_cents").join(paid, ["month", "country_id"], "left").join(m.dim_countries.select("country_id", "country_name", "region"), "country_id", "left")
-    out = out.withColumn("_cents", F.coalesce("_cents", F.lit(0)))
+    out = _monthly(m, "country_id").drop("_cents").join(paid, ["month", "country_id"], "left").withColumn("_cents", F.coalesce("_cents", F.lit(0)))
+    return country_kpis(out, m.dim_countries)
+
+
+def country_kpis(sums: DataFrame, countries: DataFrame) -> DataFrame:
+    out = sums.join(countries.select("country_id", "country_name", "region"), "country_id", "left")
     return out.withColumns({
         "total_revenue_eur": euros("_cents"), "completion_rate": rate(F.col("completed_appointments"), F.col("total_appointments")),
         "revenue_per_patient": euros_each(F.col("_cents"), F.col("unique_patients")),

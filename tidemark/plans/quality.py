@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.plans.models import Models
@@ -117,10 +119,102 @@ RULES = {
 }
 
 
-def run_tests(m: Models, tests: tuple[Test, ...] = TESTS) -> list[dict]:
-    """One result a test: name, severity, failing rows, and pass, warn or error."""
-    out = []
+def failing_row(t: Test) -> Column | None:
+    """Whether a row of the model fails, for tests that need no other row."""
+    if t.kind == "not_null":
+        return F.col(t.column).isNull()
+    if t.kind == "accepted_values":
+        return ~F.col(t.column).isin(*t.values)
+    return ~F.expr(t.expression) if t.kind == "expression" else None
+
+
+def watcher(tests: Sequence[Test], name: str) -> tuple[Callable[[DataFrame], DataFrame], Observation | None]:
+    """A function that lets a DataFrame count the failing rows of the row tests while it is written, and where they are found.
+
+    The counts cost no second scan. The function belongs on the last step before the write: below an exchange by ranges
+    rows would be counted twice, since ranges are found from a sample of their own.
+    """
+    counts = [F.count_if(failing_row(t)).alias(t.name) for t in tests if failing_row(t) is not None]
+    if not counts:
+        return (lambda df: df), None
+    seen = Observation(name)
+    return (lambda df: df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)), seen
+
+
+def _result(t: Test, n: int) -> dict:
+    return {"test": t.name, "severity": t.severity, "failing_rows": n, "state": "pass" if not n else t.severity}
+
+
+def run_tests(m: Models, tests: Sequence[Test] = TESTS) -> list[dict]:
+    """One result a test: name, severity, failing rows, and pass, warn or error. One job: the row tests of a model share a scan."""
+    parts = []
+    for model in dict.fromkeys(t.model for t in tests):
+        own = [t for t in tests if t.model == model and failing_row(t) is not None]
+        if own:
+            counts = getattr(m, model).agg(*(F.count_if(failing_row(t)).alias(f"t{i}") for i, t in enumerate(own)))
+            pairs = F.array(*(F.struct(F.lit(t.name).alias("test"), F.col(f"t{i}").alias("n")) for i, t in enumerate(own)))
+            parts.append(counts.select(F.inline(pairs)))
     for t in tests:
-        n = failures(m, t).count()
-        out.append({"test": t.name, "severity": t.severity, "failing_rows": n, "state": "pass" if not n else t.severity})
+        if failing_row(t) is None:
+            parts.append(failures(m, t).agg(F.count("*").alias("n")).select(F.lit(t.name).alias("test"), "n"))
+    if not parts:
+        return []
+    found = {r["test"]: r["n"] for r in reduce(DataFrame.union, parts).collect()}
+    return [_result(t, found[t.name]) for t in tests]
+
+
+class DataTestError(ValueError):
+    """A built table fails tests of severity error."""
+
+
+def test_built(m: Models, model: str, seen: Observation | None, tests: Sequence[Test]) -> list[dict]:
+    """Results of a model that was just written: row tests as observed by the write, the others in one job."""
+    own = [t for t in tests if t.model == model]
+    counts = seen.get if seen else {}
+    results = [_result(t, counts[t.name]) for t in own if t.name in counts] + run_tests(m, [t for t in own if t.name not in counts])
+    if bad := [r for r in results if r["state"] == "error"]:
+        raise DataTestError("; ".join(f"{r['test']}: {r['failing_rows']} rows" for r in bad))
+    return results
+
+
+test_built.__test__ = False  # pytest: not a test
+
+
+# Checks of the raw tables.
+
+
+def raw_failures(raw, rows: Mapping[str, DataFrame | int]) -> dict[str, DataFrame]:
+    """The failing rows of each check of the raw tables; rows: how many each of some tables has to have."""
+    key = lambda table, c: getattr(raw, table).groupBy(c).agg(F.count("*").alias("n")).where("n > 1")
+    lost = lambda table, own, c, to: getattr(raw, table).join(getattr(raw, to).select(c), c, "left_anti").select(own)
+    other = lambda table, c, values: getattr(raw, table).select(F.lower(c).alias(c)).distinct().where(~F.col(c).isin(*values))
+    visits, payments = raw.raw_appointments, raw.raw_payments
+    out = {f"pk_{t}_unique": key(f"raw_{t}", c) for t, c in (("specialties", "specialty_id"), ("doctors", "doctor_id"), ("patients", "patient_id"), ("appointments", "appointment_id"), ("payments", "payment_id"))}
+    out |= {
+        "fk_appointments_patient": lost("raw_appointments", "appointment_id", "patient_id", "raw_patients"),
+        "fk_appointments_doctor": lost("raw_appointments", "appointment_id", "doctor_id", "raw_doctors"),
+        "fk_payments_appointment": lost("raw_payments", "payment_id", "appointment_id", "raw_appointments"),
+        "payments_only_for_completed": payments.select("payment_id", "appointment_id").join(visits.select("appointment_id", F.lower("status").alias("status")), "appointment_id").where("status <> 'completed'"),
+        "appointment_status_values": other("raw_appointments", "status", STATUS),
+        "payment_status_values": other("raw_payments", "payment_status", PAYMENT_STATUS),
+        "lead_status_values": other("raw_leads", "lead_status", LEAD_STATUS),
+        "payment_amount_positive": payments.where("amount_cents <= 0").select("payment_id", "amount_cents"),
+        "appointment_created_before_start": visits.where("appointment_created_at >= appointment_start_at").select("appointment_id", "appointment_created_at", "appointment_start_at"),
+    }
+    for table, want in rows.items():
+        have = getattr(raw, f"raw_{table}").agg(F.count("*").alias("n"))
+        want = want.agg(F.count("*").alias("wanted")) if isinstance(want, DataFrame) else have.select(F.lit(want).cast("long").alias("wanted"))
+        out[f"row_count_{table}"] = have.crossJoin(F.broadcast(want)).where("n <> wanted")  # one row each
     return out
+
+
+def check_raw(raw, rows: Mapping[str, DataFrame | int]) -> DataFrame:
+    """(check, failing_rows, sample, state) of every check, in one job; sample is one failing row as JSON."""
+    parts = [df.agg(F.count("*").alias("failing_rows"), F.min(F.to_json(F.struct("*"))).alias("sample")).withColumn("check", F.lit(name)) for name, df in raw_failures(raw, rows).items()]
+    state = F.when(F.col("failing_rows") == 0, "pass").otherwise("error")
+    return reduce(DataFrame.unionByName, parts).select("check", "failing_rows", "sample", state.alias("state"))
+
+
+def exit_state(results: DataFrame) -> int:
+    """0 if every check passes, else 1."""
+    return int(not results.where("state = 'error'").isEmpty())

@@ -6,8 +6,6 @@ rows; everything built on it is written twice.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -87,9 +85,3 @@ class Raw:
                 text = PROJECTION[name]
                 self._made[name] = self.spark.sql(text, **{t: getattr(self, t) for t in (*TABLES, *PROJECTION) if f"{{{t}}}" in text})
         return self._made[name]
-
-    @cached_property
-    def seed_regions(self) -> DataFrame:
-        """The small reference table that is kept with the code."""
-        rows = [(r, lang) for r, lang in (("AFRICA", "en"), ("AMERICA", "en"), ("ASIA", "ja"), ("EUROPE", "fr"), ("MIDDLE EAST", "ar"))]
-        return self.spark.createDataFrame(rows, "region string, language string")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_DEFAULT = "file:///tmp/checkpoints"
 
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -37,8 +38,20 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df as a table of its own whose rows lie in buckets of key, sorted by it: joins of such tables on key need no exchange."""
+    spark, name = df.sparkSession, f"kept_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", shared_folder(spark, name)).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 @atexit.register
 def clean_up() -> None:
+    while _tables:
+        spark, name = _tables.pop()
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     while _made:
         spark, path = _made.pop()
         if spark.sparkContext._jsc is not None:
