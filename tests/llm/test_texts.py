@@ -62,6 +62,8 @@ def test_jaccard_components(table):
 def test_jaccard_finds_links_at_the_threshold(spark, monkeypatch):
     """Edited copies around the threshold, in buckets larger than a block and with several hubs."""
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 4)
+    monkeypatch.setattr(ngram_jaccard, "SLICE_BYTES", 5000)  # cells in several turns
+    monkeypatch.setattr(ngram_jaccard, "SLICE", 0.01)
     rng = random.Random(5)
     rows, base = [], [[f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (9, 40, 41, 160, 900)]
     for b in base:

@@ -22,7 +22,7 @@ hash of all their shingles are one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ EMIT_ROWS = 1 << 19
 HOT_ROWS = 64
 #: Sets of a bucket, and about so many shingles of them, that are compared with each other at a time.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Cells are verified in turns of so many bytes of sets, as a part of the texts' bytes, and of so many at least.
+SLICE, SLICE_BYTES = 0.25, 64 << 20
 #: Least and most columns of a flat sketch, whose number is the power of two from the set's size on.
 COLUMNS = (512, 1 << 17)
 
@@ -416,8 +418,8 @@ def _label(rows: DataFrame, c: str, comps: DataFrame, name: str) -> DataFrame:
 class _Search:
     """What the steps of one call share: the texts, the classes of equal sets, and the scratch folder."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, scratch: Scratch):
-        self.docs, self.classes, self.width, self.percent, self.scratch = docs, classes, width, percent, scratch
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, width: int, percent: int, scratch: Scratch):
+        self.docs, self.classes, self.size, self.width, self.percent, self.scratch = docs, classes, size, width, percent, scratch
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(node, items) of nodes (node), read from one text of each."""
@@ -459,8 +461,16 @@ class _Search:
         close = scratch.keep(dealt.mapInArrow(lambda it: _close(it, percent), "cell_id long, node long, comp long, n long, right int"))
         if close.isEmpty():
             return close.select(F.col("node").alias("u"), F.col("node").alias("v"))
-        full = close.join(self.sets(close.select("node").distinct()), "node").repartition("cell_id").sortWithinPartitions("cell_id")
-        return scratch.keep(full.mapInArrow(lambda it: _join(it, percent), "u long, v long"))
+        sets = self.sets(close.select("node").distinct())
+        # A set goes to every cell it is in: cells are taken in turns of about SLICE of the texts' bytes, which bounds the disk.
+        turns = max(1, round(8 * close.agg(F.sum("n")).first()[0] / max(SLICE_BYTES, SLICE * self.size)))
+        found = []
+        for k in range(turns):
+            own = close.where(F.pmod(F.xxhash64("cell_id"), F.lit(turns)) == k)
+            full = own.join(sets, "node").repartition("cell_id").sortWithinPartitions("cell_id")
+            found.append(scratch.keep(full.mapInArrow(lambda it: _join(it, percent), "u long, v long")))
+        scratch.drop(sets)
+        return reduce(DataFrame.union, found)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -479,11 +489,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, scrat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, int(size * 1.7 / REDUCE_BYTES))
     blocks = docs.mapInArrow(lambda it: _emit(it, parts, width, percent), "p int, data binary")
-    found = scratch.keep(blocks.repartitionById(parts, F.col("p")).mapInArrow(_reduce, _FOUND), by="kind")
+    found = scratch.keep(blocks.repartition(parts, "p").mapInArrow(_reduce, _FOUND), by="kind")
     facts = found.where(F.col("kind") == _META).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("node"), F.col("d").alias("spare"), "sketch")
     classes = facts.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("spare").alias("spare"), F.max("sketch").alias("sketch"))
     classes = scratch.keep(classes)
-    search = _Search(docs, classes, width, percent, scratch)
+    search = _Search(docs, classes, size, width, percent, scratch)
 
     pairs = found.where(F.col("kind") == _PAIR).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("keys"))
     pairs = scratch.keep(search.beside(search.beside(pairs, "a"), "b").mapInArrow(lambda it: _prune(it, percent), "a long, b long, keys long"))
