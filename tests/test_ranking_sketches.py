@@ -1,6 +1,7 @@
 """Distributed places, and sketches that are stored and merged."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,15 @@ def test_retention_of_large_sets(spark):
         month = r["cohort_month"].month + r["months_since_acquisition"]
         want = 24_000 if month < 5 else 30_000
         assert abs(r["retained"] - want) <= 0.05 * 30_000 and abs(r["cohort"] - 30_000) <= 0.05 * 30_000
+
+
+def test_retention_of_a_small_cohort_in_large_months(spark):
+    """A hundred patients among months of sixty thousand: as exact as large cohorts are."""
+    patients = spark.range(60_100).selectExpr("id AS patient_id", "IF(id < 60000, DATE'2024-01-01', DATE'2024-02-01') AS cohort_month")
+    visits = patients.selectExpr("patient_id", "explode(sequence(cohort_month, DATE'2024-04-01', INTERVAL 1 MONTH)) AS appointment_date", "'completed' AS status")
+    sets = sketches.retention_sets(SimpleNamespace(int_patient_lifetime_metrics=patients, fct_appointments=visits.where("patient_id % 2 = 0 OR month(appointment_date) < 4")))
+    got = {(r["cohort_month"].month, r["months_since_acquisition"]): r["retained"] for r in sketches.retention_of_sets(*sets).collect()}
+    assert len(got) == 4 + 3
+    for (month, since), n in got.items():
+        size = 60_000 if month == 1 else 100
+        assert abs(n - (size if month + since < 4 else size / 2)) <= 0.05 * size + 1

@@ -76,18 +76,24 @@ def sketched_amounts(m: Models) -> DataFrame:
 
 
 def retention_sets(m: Models) -> tuple[DataFrame, DataFrame]:
-    """(month, set) of the patients of a cohort, and of the patients active in a month."""
+    """(month, set) of the patients of a cohort, and (cohort_month, month, set) of those of a cohort active in a month.
+
+    A month's patients of all cohorts in one set would be sampled too thinly to tell how many of a small cohort are among
+    them: an intersection holds no more of either set than the larger one was sampled at.
+    """
     theta = F.theta_sketch_agg("patient_id", F.lit(THETA_LG_K)).alias("set")
-    cohorts = m.int_patient_lifetime_metrics.where("cohort_month IS NOT NULL").groupBy(F.col("cohort_month").alias("month")).agg(theta)
-    return cohorts, m.fct_appointments.where(DONE).groupBy(month_of("appointment_date").alias("month")).agg(theta)
+    patients = m.int_patient_lifetime_metrics.where("cohort_month IS NOT NULL").select("patient_id", "cohort_month")
+    cohorts = patients.groupBy(F.col("cohort_month").alias("month")).agg(theta)
+    active = m.fct_appointments.where(DONE).select("patient_id", month_of("appointment_date").alias("month"))
+    return cohorts, active.join(patients, "patient_id").groupBy("cohort_month", "month").agg(theta)
 
 
 def retention_of_sets(cohorts: DataFrame, active: DataFrame) -> DataFrame:
-    """(cohort_month, months_since_acquisition, retained, cohort) as estimates, from one row a month on either side."""
+    """(cohort_month, months_since_acquisition, retained, cohort) as estimates, from one row a month on either side, or a row a cohort and month."""
     last = active.agg(F.max("month").alias("last"))
     pairs = cohorts.crossJoin(F.broadcast(last)).where("month <= last")  # one row
     pairs = pairs.select(F.col("month").alias("cohort_month"), F.col("set").alias("cohort_set"), F.explode(F.sequence("month", "last", F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    rows = pairs.join(active, "month").withColumn("both", F.theta_intersection("cohort_set", "set"))
+    rows = pairs.join(active, [c for c in ("cohort_month", "month") if c in active.columns]).withColumn("both", F.theta_intersection("cohort_set", "set"))
     return rows.select("cohort_month", months_apart("month", "cohort_month").alias("months_since_acquisition"), F.theta_sketch_estimate("both").alias("retained"), F.theta_sketch_estimate("cohort_set").alias("cohort"))
 
 
