@@ -90,3 +90,12 @@ def test_retention_of_a_small_cohort_in_large_months(spark):
     for (month, since), n in got.items():
         size = 60_000 if month == 1 else 100
         assert abs(n - (size if month + since < 4 else size / 2)) <= 0.05 * size + 1
+
+
+def test_a_sketch_for_each_status_only(m):
+    """No aggregate keeps a sketch for each pair of status and patient."""
+    from tidemark.operators.aggregates import approx_distinct
+
+    plan = approx_distinct(m)._jdf.queryExecution().executedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
+    assert sketched and not [line for line in sketched if "patient_id" in line.split("keys=")[1].split("]")[0]]
