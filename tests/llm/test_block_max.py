@@ -92,3 +92,11 @@ def test_empty_tables(spark, corpus):
     assert block_max.search(block_max.build_index(table), items.limit(0)).count() == 0
     blank = block_max.build_index(cases(spark, [(1, None, "s"), (2, " -- ", "s")]))
     assert block_max.search(blank, items).count() == 0
+
+
+def test_few_blocks_go_to_python_at_once_and_open_ones_are_small(spark, small):
+    """A task holds some megabytes of blocks, and a block that is scored little more than it is stored in."""
+    index = block_max.build_index(spark.read.parquet(f"{small}/documents.parquet"))
+    assert int(index.blocks.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 16
+    block = block_max._Forward(index.blocks.first().asDict(), (index.docs, index.terms))
+    assert block.local.itemsize <= 4 and block.impacts.itemsize <= 4 and block.impacts.min() >= 0

@@ -27,8 +27,8 @@ from tidemark.llm.terms import term_counts, term_lists
 BLOCK_DOCS, BLOCK_TERMS = 64, 1 << 16
 #: Queries are searched together until they have so many terms; the driver holds one such round at a time.
 ROUND_TERMS = 1 << 18
-#: Bytes of blocks that a task holds at a time; it reads so many blocks from a file at once.
-HELD_BYTES, READ_BLOCKS = 32 << 20, 64
+#: Bytes of blocks that a task holds at a time; it reads so many blocks from a file, and gives Python so many, at once.
+HELD_BYTES, READ_BLOCKS = 8 << 20, 16
 # Documents a query; a score's unit, the part of a document's length in it in percent, and its factors.
 MOST = 10
 UNIT, LENGTH_PERCENT, TF_FACTOR, LENGTH_FACTOR = 1_000_000_000, 90, 1000, 8
@@ -54,7 +54,12 @@ def _narrow(x: np.ndarray) -> bytes:
 
 
 def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+    return _stored(raw, n).astype(np.int64)
+
+
+def _stored(raw: bytes, n: int) -> np.ndarray:
+    """The values as they are stored, in the type they have there."""
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +120,7 @@ def build_index(docs: DataFrame, scratch: Scratch | None = None) -> Index:
     n, terms = n or 0, terms or 0
     blocks = rows.mapInArrow(lambda it: _blocks(it, n, terms), _INDEX).withColumn("block_id", F.monotonically_increasing_id())
     # Rows are large, so few of them are read at a time.
-    return Index(scratch.keep(blocks, settings={"spark.sql.parquet.columnarReaderBatchSize": str(READ_BLOCKS)}), n, terms)
+    return Index(scratch.keep(blocks, settings={"spark.sql.parquet.columnarReaderBatchSize": str(READ_BLOCKS), "spark.sql.execution.arrow.maxRecordsPerBatch": str(READ_BLOCKS)}), n, terms)
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +211,9 @@ class _Forward:
         self.ids = np.array([i or 0 for i in ids], np.int64)
         ends = np.frombuffer(row["ends"], np.int64)
         self.starts = np.concatenate([[0], ends[:-1]])
-        self.local, tf = _wide(row["local"], int(ends[-1])), _wide(row["tf"], int(ends[-1]))
-        self.impacts = impacts(tf, np.repeat(np.frombuffer(row["sizes"], np.int64), ends - self.starts), *index)
+        self.local, tf = _stored(row["local"], int(ends[-1])), _wide(row["tf"], int(ends[-1]))
+        # No impact is above UNIT / TF_FACTOR, so half the bytes do.
+        self.impacts = impacts(tf, np.repeat(np.frombuffer(row["sizes"], np.int64), ends - self.starts), *index).astype(np.int32)
         self.terms = row["terms"]
 
     def score(self, queries: _Round, q: int) -> np.ndarray:

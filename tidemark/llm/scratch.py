@@ -109,12 +109,13 @@ class Scratch:
         return out
 
     def write(self, writer: DataFrameWriter, path: str, kind: str = "parquet") -> None:
-        """Writes under WRITING, then puts the session's settings back."""
+        """Writes under WRITING, then puts the session's settings back. Smaller batches of the session stay."""
         conf = writer._spark.conf
         before = {k: conf.get(k) for k in WRITING}
         try:
             for k, v in WRITING.items():
-                conf.set(k, v)
+                if not (v.isdigit() and 0 < int(before[k]) < int(v)):
+                    conf.set(k, v)
             writer.format(kind).save(path)
         finally:
             for k, v in before.items():
