@@ -374,6 +374,22 @@ def test_packing(table, spark):
     assert bm25_pack.pack_documents(cases(spark, []), tokenizer_path(TOKENIZER)).count() == 0
 
 
+def test_entries_of_used_rests_go_and_scores_stay():
+    """A shard's postings shrink as rests are used; open rests keep their order and their scores."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rests = [np.array([rng.randrange(40) for _ in range(rng.randrange(1, 60))], np.uint32) for _ in range(80)]
+    shard, left = bm25_pack._Shard(rests, np.ones(40), 30.0), np.array([len(r) for r in rests])
+    before = len(shard.docs)
+    for seed in range(0, 80, 2):
+        left[seed] = 0
+        whole = bm25_pack._Shard(rests, np.ones(40), 30.0)
+        whole.open = 0  # never shrinks
+        assert list(shard.neighbours(seed, left)) == list(whole.neighbours(seed, left))
+    assert len(shard.docs) < before * 3 / 4
+
+
 def test_neighbours_fill_a_seeds_window():
     """In a shard of two vocabularies a window holds one of them until it runs out."""
     import numpy as np

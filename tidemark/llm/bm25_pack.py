@@ -87,10 +87,18 @@ class _Shard:
         self.weights = np.concatenate(weights)
         order = np.argsort(self.terms, kind="stable")
         self.by_term, self.docs, self.scores = self.terms[order], np.concatenate(docs)[order], self.weights[order]
-        self.n = len(rests)
+        self.n = self.open = len(rests)
+
+    def _forget_used(self, left: np.ndarray) -> None:
+        """Drops the entries of used documents once a quarter of those that were open are used; no score of an open one changes."""
+        still = int(np.count_nonzero(left > 0))
+        if still <= self.open * 3 // 4:
+            kept = left[self.docs] > 0
+            self.by_term, self.docs, self.scores, self.open = self.by_term[kept], self.docs[kept], self.scores[kept], still
 
     def neighbours(self, seed: int, left: np.ndarray) -> np.ndarray:
         """Unused documents by falling score over all terms of the seed, those that share none after them in order."""
+        self._forget_used(left)
         a, b = self.spans[seed]
         q = self.terms[a:b]
         lo, hi = np.searchsorted(self.by_term, q, "left"), np.searchsorted(self.by_term, q, "right")
