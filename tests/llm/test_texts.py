@@ -235,6 +235,20 @@ def test_mixing(table, spark):
     assert entropy_mix.mix_copies(cases(spark, [])).count() == 0
 
 
+def test_a_target_of_half_a_word_is_rounded_once(spark, monkeypatch):
+    """Three words share 4.5: what is off by half a word either way is not mended forth and back for ever."""
+    keep, kept = entropy_mix.Scratch.keep, []
+
+    def counted(self, *args, **kwargs):
+        kept.append(1)
+        assert len(kept) < 30
+        return keep(self, *args, **kwargs)
+
+    monkeypatch.setattr(entropy_mix.Scratch, "keep", counted)
+    rows = entropy_mix.mix_copies(cases(spark, [(i, "word", "s") for i in range(3)])).collect()
+    assert {r["target"] for r in rows} == {4.5} and sum(r["taken"] for r in rows) == 5
+
+
 def test_rates_are_exponential_tilts(spark, small):
     """log(rate) is linear in size below the cap, which is what the dual's optimum looks like, and meets the target."""
     import math

@@ -125,9 +125,11 @@ def rounded(groups: DataFrame, targets: DataFrame, scratch: Scratch, most: int =
     low, high = F.col("n") * F.floor("rate"), F.col("n") * F.ceil("rate")
     start = F.floor(upto - F.col("n") * F.col("rate") + 0.5)
     held = scratch.keep(groups.withColumn("copies", F.least(high, F.greatest(low, F.floor(upto + 0.5) - start))))
+    # One whole number a source: what is off by half a word either way would be mended forth and back for ever.
+    whole = targets.select("key", F.round("target").cast("long").alias("target"))
     while True:
         got = held.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
-        both = held.join(got.join(targets, "key").select("key", F.round(F.col("target") - F.col("got")).cast("long").alias("off")), "key")
+        both = held.join(got.join(whole, "key").select("key", (F.col("target") - F.col("got")).alias("off")), "key")
         # As many of a group's roundings as mend most of what is left; any at all make it less.
         can = F.when(F.col("off") > 0, high - F.col("copies")).otherwise(F.col("copies") - low)
         many = F.least(can, F.floor(F.abs("off") / F.col("size") + 0.5 - 1e-9)).cast("long")
