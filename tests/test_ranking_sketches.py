@@ -99,3 +99,12 @@ def test_a_sketch_for_each_status_only(m):
     plan = approx_distinct(m)._jdf.queryExecution().executedPlan().toString()
     sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
     assert sketched and not [line for line in sketched if "patient_id" in line.split("keys=")[1].split("]")[0]]
+
+
+def test_leads_without_a_visit_do_not_meet_in_one_task(spark, small):
+    session = spark.newSession()
+    for k, v in {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.session.timeZone": "UTC"}.items():
+        session.conf.set(k, v)
+    leads = Models(session, small).fct_leads
+    sizes = [r["count"] for r in leads.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < sum(sizes) / 4

@@ -155,7 +155,10 @@ def int_doctor_performance(m: Models) -> DataFrame:
 def int_lead_to_appointment_funnel(m: Models) -> DataFrame:
     visits = m.stg_appointments.select("appointment_id", "appointment_created_at", "appointment_start_at", F.col("status").alias("appointment_status"))
     paid = m.stg_payments.where("payment_status = 'paid'").select(F.col("appointment_id").alias("_paid_id"), "payment_created_at", "amount_cents", "payment_status")
-    out = m.stg_leads.join(visits, F.col("converted_appointment_id") == F.col("appointment_id"), "left").join(paid, F.col("appointment_id") == F.col("_paid_id"), "left")
+    # Leads without a visit are dealt by their own id: as nulls they would all meet in one task.
+    leads = m.stg_leads.withColumn("_key", F.coalesce("converted_appointment_id", "lead_id"))
+    out = leads.join(visits, (F.col("_key") == F.col("appointment_id")) & F.col("converted_appointment_id").isNotNull(), "left")
+    out = out.join(paid, (F.col("_key") == F.col("_paid_id")) & F.col("appointment_id").isNotNull(), "left")
     return out.select(
         "lead_id", "patient_id", "specialty_id", "country_id", "lead_source", "lead_status", F.col("created_at").alias("lead_created_at"),
         "appointment_id", "appointment_created_at", "appointment_status", "payment_created_at", "amount_cents", "payment_status",
