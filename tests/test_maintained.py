@@ -104,3 +104,11 @@ def test_batches_equal_a_rebuild(spark, small, tmp_path):
     plain = lambda df: sorted((tuple(map(str, r)) for r in df.select(sorted(df.columns)).collect()))
     assert plain(got) == plain(want)
     assert kept.apply(end, maintained.Batch(visits.where("false"), payments.where("false"), leads.where("false"))) == {"daily": [], "counts": []}
+
+
+def test_only_one_of_the_sums_is_kept(spark, small):
+    """A query that asks for daily figures neither builds nor publishes the monthly ones, and the other way round."""
+    m = Models(spark, small)
+    for kind, other in (("daily", "counts"), ("counts", "daily")):
+        kept = maintained._maintained(m, kind)
+        assert getattr(kept, kind).versions() == [1, 2] and getattr(kept, other).versions() == []

@@ -117,24 +117,23 @@ def touched(before, now, batch: Batch) -> tuple[SimpleNamespace, SimpleNamespace
 
 
 class Maintained:
-    """Daily and monthly sums under a folder, one version after each batch."""
+    """Daily and monthly sums under a folder, or those in kinds alone, one version after each batch."""
 
-    def __init__(self, spark, folder: str):
+    def __init__(self, spark, folder: str, kinds: tuple[str, ...] = ("daily", "counts")):
         self.spark = spark
         self.daily = VersionedTable(spark, f"{folder}/daily", "date")
         self.counts = VersionedTable(spark, f"{folder}/counts", "month")
+        both = {"daily": (self.daily, daily_parts, ["date"], list(DAILY_SUMS)), "counts": (self.counts, country_parts, list(COUNT_KEY), ["n"])}
+        self._kinds = {k: both[k] for k in kinds}
 
     def rebuild(self, m: Models) -> None:
-        self.daily.publish(daily_parts(m))
-        self.counts.publish(country_parts(m))
+        for table, parts, *_ in self._kinds.values():
+            table.publish(parts(m))
 
     def apply(self, before, batch: Batch, config=None) -> dict[str, list[str]]:
         """Takes a batch in, given the raw tables as they were, and returns the months that changed, by table."""
         old, new = (Models(self.spark, raw=t, **({"config": config} if config else {})) for t in touched(before, after(before, batch), batch))
-        return {
-            "daily": self._add(self.daily, daily_parts(old), daily_parts(new), ["date"], list(DAILY_SUMS)),
-            "counts": self._add(self.counts, country_parts(old), country_parts(new), list(COUNT_KEY), ["n"]),
-        }
+        return {k: self._add(table, parts(old), parts(new), key, sums) for k, (table, parts, key, sums) in self._kinds.items()}
 
     def _add(self, table: VersionedTable, old: DataFrame, new: DataFrame, key: list[str], sums: list[str]) -> list[str]:
         total = lambda df: df.groupBy(*key).agg(*(F.sum(c).alias(c) for c in sums))
@@ -164,9 +163,9 @@ def _history(m: Models) -> tuple[SimpleNamespace, Batch]:
     return SimpleNamespace(**tables | {t: keep(tables[t], t) for t in _KEYS}), batch
 
 
-def _maintained(m: Models) -> Maintained:
+def _maintained(m: Models, kind: str) -> Maintained:
     before, batch = _history(m)
-    out = Maintained(m.spark, shared_folder(m.spark, "maintained"))
+    out = Maintained(m.spark, shared_folder(m.spark, "maintained"), (kind,))
     out.rebuild(Models(m.spark, raw=before, config=m.config))
     out.apply(before, batch, m.config)
     return out
@@ -175,10 +174,10 @@ def _maintained(m: Models) -> Maintained:
 @query
 def maintained_daily_kpis(m: Models) -> DataFrame:
     """Daily figures after a batch, from kept sums and the change of the months it touches."""
-    return daily_kpis(_maintained(m).daily.read())
+    return daily_kpis(_maintained(m, "daily").daily.read())
 
 
 @query
 def maintained_country_kpis(m: Models) -> DataFrame:
     """Monthly figures by country after the same batch."""
-    return country_kpis(country_figures(_maintained(m).counts.read()), m.dim_countries)
+    return country_kpis(country_figures(_maintained(m, "counts").counts.read()), m.dim_countries)
